@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import simhash, tokenfile
+import corpus_pipeline
+
+from . import decontam, langid, mixing, simhash, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op3_langid": langid.query,
         "op5_simhash": simhash.query,
+        "op7_decontam": decontam.query,
+        "op8_mixing": mixing.query,
         "op9_token_orc": tokenfile.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontam": decontam.SQL}
