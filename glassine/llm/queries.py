@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, langid, mixing, simhash, tokenfile
+from . import attribution, decontam, langid, mixing, simhash, spotsigs, tokenfile, warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc": warc.query,
         "op3_langid": langid.query,
         "op5_simhash": simhash.query,
+        "op6_spotsigs": spotsigs.query,
         "op7_decontam": decontam.query,
         "op8_mixing": mixing.query,
         "op9_token_orc": tokenfile.query,
+        "op10_attribution": attribution.query,
         "pipeline": corpus_pipeline.run,
     }
 
