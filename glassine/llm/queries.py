@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import attribution, decontam, langid, mixing, simhash, spotsigs, tokenfile, warc
+from . import attribution, decontam, langid, linededup, mixing, quotes, simhash, spotsigs, tokenfile, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quotes": quotes.query,
         "op2_warc": warc.query,
         "op3_langid": langid.query,
+        "op4_linededup": linededup.query,
         "op5_simhash": simhash.query,
         "op6_spotsigs": spotsigs.query,
         "op7_decontam": decontam.query,
@@ -22,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontam": decontam.SQL}
+    return {"op4_linededup": linededup.SQL, "op7_decontam": decontam.SQL}
