@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; texts that are null, without letters or in none go."""
     model = langid.train(docs.where(~langid.held_out()))
     kept = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    return kept.select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture: sources in proportion to their sizes, none above a quarter."""
-    mixed = mixing.mix(docs.withColumn("mix_size", F.length("text")))
-    return mixed.where("mix_selected").select(*docs.columns)
+    return mixing.mix(docs, F.length("text")).where("selected").select("doc.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

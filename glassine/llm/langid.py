@@ -96,11 +96,13 @@ class Model:
 def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
     """A model of docs (text, lang), from about per_lang documents of each language.
 
-    Rows without text or lang are left out.  The sample, and so all that reaches the driver, is bounded:
-    one mask for each of 2**SLOT_BITS slots at most.
+    Rows without text or lang are left out.  Which rows are taken follows the hash of all their columns, so that copies
+    of a text are taken or left one by one.  The sample, and so all that reaches the driver, is bounded: one mask for
+    each of 2**SLOT_BITS slots at most.
     """
     spark = docs.sparkSession
-    docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string"))
+    lot = F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_000)) / 1_000_000
+    docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string"), lot.alias("lot"))
     found = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     found.sort(key=lambda r: r["lang"])
     table = np.zeros(1 << SLOT_BITS, np.uint64)
@@ -109,8 +111,7 @@ def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
     rates = spark.createDataFrame(
         [(i, r["lang"], min(1.0, per_lang / r["count"])) for i, r in enumerate(found)], "i int, lang string, rate double"
     )
-    lot = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    sample = docs.join(F.broadcast(rates), "lang").where(lot < F.col("rate")).select("i", "text")
+    sample = docs.join(F.broadcast(rates), "lang").where("lot < rate").select("i", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +142,7 @@ def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) with lang_pred and score; only text is looked at.
+    """(doc, lang_pred, score) for each row of docs, doc being the row as a struct; only its text is looked at.
 
     lang_pred is `und` if text is null or has no letter, or if the model knows no language; a text none of whose
     n-grams is known gets the most frequent language with score 0.  score is the share of the text's n-grams
@@ -150,13 +151,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     langs, common, rates = model.langs, model.common, model.rates()
     width = next(w for w in (8, 16, 32, 64) if len(langs) <= w)
     table = model.table.astype(f"u{width // 8}")
-    names = docs.columns
-    at = names.index("text")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
     probe = np.uint64((1 << SLOT_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(1).to_pylist()
             hits, total = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
             for rows, group in _pieces(texts):
                 h, of = _grams(group)
@@ -180,11 +180,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     top = float(share[i, best[i]])
                     pred.append(langs[best[i] if top > 0 else common])
                     score.append(top)
-            columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            columns = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "lang_pred", "score"])
 
-    schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([packed.schema["doc"]]).add("lang_pred", "string").add("score", "double")
+    return packed.mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:
@@ -197,4 +197,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out()))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return predict(ids, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(ids, model).select("doc.doc_id", "doc.held_out", "lang_pred", "score")

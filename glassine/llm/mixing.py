@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import durable, guarded_broadcast
@@ -71,35 +71,34 @@ def capped(sizes: dict[str, int], most: float = MOST) -> dict[str, float]:
         over |= more
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """docs with mix_block, mix_release, mix_deadline, mix_slot and mix_selected.
+def mix(
+    docs: DataFrame, size: Column, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD
+) -> DataFrame:
+    """(doc, block, release, deadline, slot, selected) for each row of docs (doc_id, source), doc being the row.
 
-    docs needs doc_id, source and mix_size (characters).  weights maps sources to target weights; by default they are
-    the sources' sizes, capped.  mix_selected holds for blocks released before the first source runs out: up to there
-    the mixture follows the weights.  Sources without a positive weight get no slot and aren't selected.
+    size is a document's characters.  weights maps sources to target weights; by default they are the sources' sizes,
+    capped.  selected holds for blocks released before the first source runs out: up to there the mixture follows the
+    weights.  Sources without a positive weight get no slot and aren't selected.
 
     A null source is a source of its own; a null or empty text counts one character, as every document does on top of
     its own; documents longer than a block take up the slots they cover.  Repeated rows are rows of their own.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.col("mix_size"), F.lit(0)).cast("long") + 1
-    lot = F.xxhash64("doc_id", "mix_size", "source")
     chunks = max(1, min(CHUNKS, math.ceil(docs.count() / CHUNK_ROWS)))
-    keyed = docs.withColumns(
-        {
-            "mix_source": F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)),
-            "mix_size": size,
-            "mix_lot": lot,
-            "mix_chunk": F.pmod(F.xxhash64(lot), F.lit(chunks)).cast("int"),
-        }
-    )
-    order = Window.partitionBy("mix_source", "mix_chunk").orderBy("mix_lot", "doc_id")
-    before = F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("mix_size")
-    placed = durable(keyed.withColumn("mix_before", before), "placed")
-    totals = durable(placed.groupBy("mix_source", "mix_chunk").agg(F.sum("mix_size").alias("n")), "totals")
-    by_source = Window.partitionBy("mix_source").orderBy("mix_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("mix_source", "mix_chunk", F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("mix_base"))
-    sizes = {r[0]: r[1] for r in totals.groupBy("mix_source").agg(F.sum("n")).collect()}
+    keyed = docs.select(
+        F.struct("*").alias("doc"),
+        F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"),
+        (F.coalesce(size, F.lit(0)).cast("long") + 1).alias("size"),
+        F.xxhash64("doc_id", size, "source").alias("lot"),
+        F.col("doc_id").alias("id"),
+    ).withColumn("chunk", F.pmod(F.xxhash64("lot"), F.lit(chunks)).cast("int"))
+    order = Window.partitionBy("source", "chunk").orderBy("lot", "id")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    placed = durable(keyed.withColumn("before", before), "placed")
+    totals = durable(placed.groupBy("source", "chunk").agg(F.sum("size").alias("n")), "totals")
+    by_source = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("source", "chunk", F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("base"))
+    sizes = {r[0]: r[1] for r in totals.groupBy("source").agg(F.sum("n")).collect()}
     if weights is None:
         weights = capped(sizes)
     weights = {s: weights.get(s, 0) for s in sizes}
@@ -107,29 +106,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     slots = shares(weights, period) if any(w > 0 for w in weights.values()) else {}
     ends = [-(-(-(-sizes[s] // block)) * period // n) for s, n in slots.items()]
     horizon = min(ends, default=0)
-    laid = spark.createDataFrame(schedule(slots, period), "mix_source string, mix_i long, mix_t long")
-    counts = spark.createDataFrame(list(slots.items()), "mix_source string, mix_n long")
-    numbered = placed.join(guarded_broadcast(durable(bases, "bases")), ["mix_source", "mix_chunk"]).withColumn(
-        "mix_block", F.expr(f"(mix_base + mix_before) div {block}")
-    )
     # Both tables are as long as the period and the list of sources.
-    numbered = numbered.join(F.broadcast(counts), "mix_source", "left").withColumn("mix_i", F.expr("mix_block % mix_n"))
-    release = F.expr(f"(mix_block * {period}L) div mix_n")
-    out = numbered.join(F.broadcast(laid), ["mix_source", "mix_i"], "left").withColumns(
-        {
-            "mix_release": release,
-            "mix_deadline": F.expr(f"((mix_block + 1) * {period}L + mix_n - 1) div mix_n"),
-            "mix_slot": F.expr(f"(mix_block div mix_n) * {period}L + mix_t"),
-            "mix_selected": F.coalesce(release < horizon, F.lit(False)),
-        }
+    laid = spark.createDataFrame(schedule(slots, period), "source string, i long, t long")
+    counts = spark.createDataFrame(list(slots.items()), "source string, n long")
+    numbered = placed.join(guarded_broadcast(durable(bases, "bases")), ["source", "chunk"])
+    numbered = numbered.withColumn("block", F.expr(f"(base + before) div {block}"))
+    numbered = numbered.join(F.broadcast(counts), "source", "left").withColumn("i", F.expr("block % n"))
+    release = F.expr(f"(block * {period}L) div n")
+    return numbered.join(F.broadcast(laid), ["source", "i"], "left").select(
+        "doc",
+        "block",
+        release.alias("release"),
+        F.expr(f"((block + 1) * {period}L + n - 1) div n").alias("deadline"),
+        F.expr(f"(block div n) * {period}L + t").alias("slot"),
+        F.coalesce(release < horizon, F.lit(False)).alias("selected"),
     )
-    mine = [c for c in docs.columns if c != "mix_size"]
-    return out.select(*mine, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_selected")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: every document's block, window and slot in the mixture."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mixed = mix(docs.select("doc_id", "source", F.length("text").alias("mix_size")))
-    names = ["block", "release", "deadline", "slot", "selected"]
-    return mixed.select("doc_id", "source", *(F.col(f"mix_{n}").alias(n) for n in names))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("n"))
+    return mix(docs, F.col("n")).select("doc.doc_id", "doc.source", "block", "release", "deadline", "slot", "selected")
