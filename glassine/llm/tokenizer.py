@@ -3,7 +3,7 @@
 The library encodes under 1 MB/s a core, most of it spent on words it has seen before.  A byte-level BPE
 splits a text into pieces by a pattern and merges inside each piece only, so a text's ids are its
 pieces' ids in a row.  ``Encoder`` therefore asks the library's model once per distinct piece and keeps the
-answer, up to a bound.  Texts are cut at single spaces first; a space with white space on both sides can lie
+answer, in two generations of bounded size: what is in use moves to the new one, the rest is forgotten.  Texts are cut at single spaces first; a space with white space on both sides can lie
 inside a piece, so texts that have one are cut by the pattern alone.  Texts that hold a special token's
 string go to the library whole.
 """
@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of each cache; at the bound it is emptied.
-KEEP = 400_000
+#: Entries of a generation of each cache.
+KEEP = 500_000
 _RISKY = re.compile(r"\s \s")
 
 
@@ -38,20 +38,49 @@ class Encoder:
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)).search if added else lambda text: None
         self.letters = _byte_alphabet()
+        self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size() + 1)]
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def _merge(self, piece: str) -> bytes:
+        """The ids of a piece, from the library's model."""
+        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
+            letters = self.letters[32] + piece[1:]
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                ids = self._merge(piece)
             if len(self.pieces) >= KEEP:
-                self.pieces.clear()
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+                self.old_pieces, self.pieces = self.pieces, {}
             if len(piece) <= 64:
                 self.pieces[piece] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a word and the space before it."""
+        ids = self.old_words.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self._piece(" " + word)
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                ids = self._piece(" " + word[:-1]) + self._piece(word[-1])
+            else:
+                ids = self._plain(" " + word)
+        if len(self.words) >= KEEP:
+            self.old_words, self.words = self.words, {}
+        if len(word) <= 64:
+            self.words[word] = ids
+        return ids
+
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.split(text)))
 
@@ -64,22 +93,11 @@ class Encoder:
         if _RISKY.search(text):
             return self._plain(text)
         first, *words = text.split(" ")
-        known = self.words
-        try:
-            return self._plain(first) + b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) >= KEEP:
-            known.clear()
-        out = [self._plain(first)]
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = self._plain(" " + w)
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        out = list(map(self.words.get, words))
+        if None in out:
+            word = self._word
+            out = [word(w) if ids is None else ids for w, ids in zip(words, out)]
+        return self._plain(first) + b"".join(out)
 
     def byte_lengths(self) -> np.ndarray:
         """For each id, how many bytes of text it stands for."""
