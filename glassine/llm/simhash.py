@@ -59,45 +59,58 @@ def _finer(mask: int, max_bits: int) -> list[int]:
     return [mask | sum(c) for c in itertools.combinations(cut, max_bits)]
 
 
-def fingerprint(words: list[bytes], shingle: int) -> tuple[int, np.ndarray]:
-    """The fingerprint of a text's words, and the hashes of its shingles."""
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a text's words, repeats included; of fewer words, of the whole sequence."""
     if not words:
-        return 0, np.zeros(0, np.uint64)
+        return np.zeros(0, "<u8")
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, 42) for g in grams], dtype="<u8")
+    return np.array([digest(g, 42) for g in grams], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         part = hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]), hashes
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """The hashes through another mixer, for a second fingerprint that errs independently."""
+    h = hashes ^ (hashes >> np.uint64(31))
+    h = h * np.uint64(0x7FB5D329728EA185)
+    h = h ^ (h >> np.uint64(27))
+    return (h * np.uint64(0x81DADEF4BC2DD44D)) ^ (h >> np.uint64(33))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, sketch_shingle: int = 5) -> DataFrame:
-    """(doc_id, fp) of docs (doc_id, text), and with sketch > 0 the sketch smallest shingle hashes.
+    """(doc_id, fp) of docs (doc_id, text); with sketch > 0 also a second fingerprint, fp2, and the sketch smallest
+    hashes of its shingles of sketch_shingle words.
 
     Words are runs of bytes other than ASCII white space, after A-Z is lower-cased.  A null or empty
     text has no words and the fingerprint zero.  Whole texts are read, one batch at a time.
     """
-    schema = "doc_id long, fp long" + (", sketch array<long>" if sketch else "")
+    schema = "doc_id long, fp long" + (", fp2 long, sketch array<long>" if sketch else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
+            fps, others, sketches = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").lower().split()
-                fp, _ = fingerprint(words, shingle)
-                fps.append(_signed(fp))
+                hashes = shingle_hashes(words, shingle)
+                fps.append(_signed(majority(hashes)))
                 if sketch:
-                    grams = np.unique(fingerprint(words, sketch_shingle)[1].view("<i8"))
-                    sketches.append(grams[:sketch])
+                    others.append(_signed(majority(remixed(hashes))))
+                    sketches.append(np.unique(shingle_hashes(words, sketch_shingle).view("<i8"))[:sketch])
             columns = [batch.column(0), pa.array(fps, pa.int64())]
             if sketch:
-                columns.append(pa.array(sketches, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sketch"][: len(columns)])
+                columns += [pa.array(others, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "fp2", "sketch"][: len(columns)])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, schema)
@@ -213,21 +226,29 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, sketch: int = 128) -> DataFrame:
     """One row per document: doc_id and component_id, linking texts whose shingles have Jaccard >= similarity.
 
-    Texts that alike differ in more bits than exact blocks allow (about 8 of 64 at 0.8).  The three-word
-    fingerprints are therefore also joined on 100 sampled 24-bit masks: these find pairs at 6 bits with
-    probability 0.998, at 8 bits 0.93, at 10 bits 0.65, on top of the exact guarantee at 3 bits.  Each link is
-    then verified by the bottom-sketch estimate of Jaccard (exact up to sketch distinct shingles; shorter
-    texts' only shingle is the text).
+    Texts that alike differ in more bits than exact blocks allow (8 to 10 of 64 at 0.8).  Two independent three-word
+    fingerprints are therefore joined on 100 sampled 22-bit masks each, on top of the exact blocks: a pair at 8 bits is
+    met with probability 0.99 by one fingerprint, at 10 bits with 0.9, at 12 with 0.6.  Each link is then verified by the
+    bottom-sketch estimate of Jaccard, exact up to sketch distinct shingles.
     """
     found = durable(fingerprints(docs, 3, sketch, shingle), "fingerprints")
-    nodes = durable(found.groupBy("fp").agg(F.min_by("sketch", "doc_id").alias("sketch")), "distinct")
-    edges = durable(links(nodes.select("fp"), 12, exact_masks(3) + sampled_masks(100, 24), nearest=True), "links")
+    nodes = found.groupBy("fp").agg(F.min_by(F.struct("fp2", "sketch"), "doc_id").alias("s"), F.first(F.struct("fp2", "sketch")).alias("any"))
+    nodes = durable(nodes.select("fp", F.coalesce("s", "any").alias("s")).select("fp", "s.*"), "distinct")
+    masks = exact_masks(3) + sampled_masks(100, 22)
+    edges = links(nodes.select("fp"), 12, masks, nearest=True)
+    of = durable(nodes.select("fp2", "fp"), "second")
+    more = links(durable(of.select("fp2").distinct().withColumnRenamed("fp2", "fp"), "distinct"), 12, masks, nearest=True)
+    # Fingerprints of which the second is the same need linking as well.
+    same = of.groupBy("fp2").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    more = more.join(of.select(F.col("fp2").alias("a"), F.col("fp").alias("fa")), "a")
+    more = more.join(of.select(F.col("fp2").alias("b"), F.col("fp").alias("fb")), "b").select("fa", "fb")
+    equal = of.join(same, "fp2").select("fp", "b")
+    edges = durable(edges.union(more).union(equal).where("a <> b").distinct(), "links")
     left = nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("x"))
     right = nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("y"))
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, sketch)
     both = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y")))
-    alike = F.size("x") + F.size("y") == 0
-    good = edges.join(left, "a").join(right, "b").where(alike | (both >= F.lit(similarity) * F.size(union)))
+    good = edges.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * F.size(union))
     return components(found.select("doc_id", "fp"), good.select("a", "b")).drop("fp")
 
 
