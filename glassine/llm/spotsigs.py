@@ -11,7 +11,6 @@ their rarest signatures only, and verifies what meets.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 import zlib
@@ -21,7 +20,8 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import durable, guarded_broadcast
@@ -63,9 +63,15 @@ def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
     return np.sort(np.array(out, np.uint32))
 
 
-def fingerprint(found: np.ndarray) -> str:
-    """A signature multiset as text: its length, then the sorted hashes in base64."""
-    return f"{len(found)}:{base64.b64encode(found.astype('<u4').tobytes()).decode()}"
+def packed(found: np.ndarray) -> bytes:
+    """A signature multiset as bytes: the sorted hashes, four bytes each."""
+    return found.astype("<u4").tobytes()
+
+
+def as_text(column: str) -> Column:
+    """A packed multiset as a fingerprint: its length, then the hashes in base64."""
+    n = F.expr(f"cast(octet_length({column}) div 4 AS string)")
+    return F.concat(n, F.lit(":"), F.base64(column)).alias(column)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -86,7 +92,7 @@ def edited(text: str, following: str) -> str:
 
 
 COLUMNS = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
 
@@ -95,20 +101,31 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """One row of COLUMNS per document of docs (doc_id, text), compared with its edited text and the next document.
 
     The next document is that of the next doc_id, after the last the first; null ids come first, and equal ids follow
-    the order of their texts' hashes.  A null text is empty.  Documents are sorted once over the cluster; only the
-    first document of each partition is fetched anew for the last one of the partition before.
+    the order of their texts' hashes.  A null text is empty.  Documents are sorted once over the cluster, compressed on
+    the way; only the first document of each partition is fetched anew for the last one of the partition before.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    order = ["doc_id", "h"]
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                small = [shrink(t) for t in texts.slice(at, 1000).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(small, pa.binary())], ["doc_id", "h", "z"])
+
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     def row(doc_id, text: str, own: np.ndarray, following: str, its: np.ndarray) -> tuple:
         changed = edited(text, following)
         new = signatures(changed)
         sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return (doc_id, len(text), sha, fingerprint(own), fingerprint(new), likeness(own, new), likeness(own, its))
+        return (doc_id, len(text), sha, packed(own), packed(new), likeness(own, new), likeness(own, its))
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     # What a partition can't finish alone: its last document, and its first for the partition before.
     schema = COLUMNS + ", part int, edge string, edge_id long, edge_text string"
 
@@ -116,6 +133,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        grow = zstandard.ZstdDecompressor().decompress
         held = None
 
         def made(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
@@ -129,7 +147,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows, edges = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, small in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                text = grow(small).decode("utf-8", "surrogatepass")
                 own = signatures(text)
                 if held is None:
                     edges.append((part, "first", doc_id, text))
@@ -152,7 +171,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
-    found = durable(slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "compared")
+    dealt = slim.mapInArrow(squeeze, "doc_id long, h long, z binary").repartitionByRange(*order)
+    found = durable(dealt.sortWithinPartitions(*order).mapInArrow(run, schema), "compared")
     firsts = found.where("edge = 'first'").select("part", F.col("edge_text").alias("next_text"))
     lasts = found.where("edge = 'last'").select("part", "edge_id", "edge_text")
     # As many numbers as there are partitions.
@@ -164,7 +184,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         .join(firsts.withColumnRenamed("part", "next_part"), "next_part")
         .select("edge_id", "edge_text", "next_text")
     )
-    return found.where("edge IS NULL").select(*names).union(joined.mapInArrow(ends, COLUMNS))
+    whole = found.where("edge IS NULL").select(*names).union(joined.mapInArrow(ends, COLUMNS))
+    return whole.select(*(as_text(n) if n.endswith("fingerprint") else F.col(n) for n in names))
 
 
 def _length_part(n: F.Column, similarity: float) -> F.Column:
