@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 VOCABULARY = "byte_bpe_50k.json"
 #: A crossing token goes to the section of its first character, of its last, or of most of its characters (of
 #: sections that hold as many the first).
@@ -101,7 +103,7 @@ def attribute(
                 yield pa.RecordBatch.from_arrays([doc, *rest], names)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, COLUMNS)
+    return small_batches(slim).mapInArrow(run, COLUMNS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 #: n-gram length, slots of the table and probes per n-gram.
 N, SLOT_BITS, PROBES = 4, 20, 3
 #: About this many documents of each language are learned from; a larger table is sampled by hash.
@@ -28,7 +30,7 @@ MAX_LANGS = 64
 #: An n-gram belongs to a language where it is at least this share as frequent as where it is most frequent.
 SHARE, LEAST_COUNT = 0.2, 2
 #: Characters and documents handled at once.
-CHUNK, DOCS = 1_000_000, 256
+CHUNK, DOCS = 250_000, 256
 
 
 @lru_cache(maxsize=1)
@@ -124,7 +126,7 @@ def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
                     columns = [pa.array(np.full(len(n), i, np.int32)), pa.array(grams), pa.array(n.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, ["i", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
+    counts = small_batches(sample).mapInArrow(count, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
     per_gram = Window.partitionBy("gram")
     member = (
         counts.join(F.broadcast(rates.select("i", "rate")), "i")
@@ -184,7 +186,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc", "lang_pred", "score"])
 
     schema = T.StructType([packed.schema["doc"]]).add("lang_pred", "string").add("score", "double")
-    return packed.mapInArrow(run, schema)
+    return small_batches(packed).mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, small_batches
 
 #: Passages of fewer letters and digits link nothing: "yes" is in every conversation.
 LEAST = 12
@@ -83,7 +83,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
     )
-    return slim.mapInArrow(run, schema)
+    return small_batches(slim).mapInArrow(run, schema)
 
 
 def quotations(found: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many rows (of a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -52,6 +54,14 @@ def guarded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, from whose session on Arrow batches have at most BATCH_ROWS rows: a worker holds few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """text with A-Z lower-cased and every other character left alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable, guarded_broadcast
+from .shared import durable, guarded_broadcast, small_batches
 
 #: Content words of a signature.
 CHAIN = 2
@@ -171,7 +171,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
-    dealt = slim.mapInArrow(squeeze, "doc_id long, h long, z binary").repartitionByRange(*order)
+    dealt = small_batches(slim).mapInArrow(squeeze, "doc_id long, h long, z binary").repartitionByRange(*order)
     found = durable(dealt.sortWithinPartitions(*order).mapInArrow(run, schema), "compared")
     firsts = found.where("edge = 'first'").select("part", F.col("edge_text").alias("next_text"))
     lasts = found.where("edge = 'last'").select("part", "edge_id", "edge_text")
@@ -214,7 +214,7 @@ def near_pairs(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sigs"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = slim.mapInArrow(run, "doc_id long, sigs array<long>").withColumn("class", F.md5(F.array_join("sigs", ",")))
+    found = small_batches(slim).mapInArrow(run, "doc_id long, sigs array<long>").withColumn("class", F.md5(F.array_join("sigs", ",")))
     found = durable(found, "signatures")
     classes = found.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs"))
     classes = durable(classes.where(F.size("sigs") > 0).withColumn("n", F.size("sigs")), "classes")

@@ -2,8 +2,9 @@
 
 The library encodes under 1 MB/s a core, most of it spent on words it has seen before.  A byte-level BPE
 splits a text into pieces by a pattern and merges inside each piece only, so a text's ids are its
-pieces' ids in a row.  ``Encoder`` therefore asks the library's model once per distinct piece and keeps the
-answer, in two generations of bounded size: what is in use moves to the new one, the rest is forgotten.  Texts are cut at single spaces first; a space with white space on both sides can lie
+pieces' ids in a row.  ``Encoder`` therefore asks the library's model and keeps the answers for words, pieces and
+whole texts from the second time on (most words of a corpus occur once), in two generations of bounded size: what is
+in use moves to the new one, the rest is forgotten.  Texts are cut at single spaces first; a space with white space on both sides can lie
 inside a piece, so texts that have one are cut by the pattern alone.  Texts that hold a special token's
 string go to the library whole.
 """
@@ -15,8 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of a generation of each cache.
-KEEP = 500_000
+#: Entries of a generation of words, of pieces (mostly asked for through words) and of whole texts.
+WORDS, PIECES, TEXTS = 200_000, 100_000, 500
+#: Texts of more characters are not kept.
+TEXT_CHARS = 20_000
+#: Flags of what was seen, by hash; all are dropped once a third is set.
+FLAGS = 1 << 22
 _RISKY = re.compile(r"\s \s")
 
 
@@ -27,6 +32,28 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Kept:
+    """A bounded memory of answers for strings that come again."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+        self.flags, self.set = bytearray(FLAGS), 0
+
+    def put(self, key: str, value: bytes, known: bool = False) -> None:
+        """Keep value, if key is known from before or was seen before."""
+        if not known:
+            at = hash(key) & (FLAGS - 1)
+            if not self.flags[at]:
+                self.flags[at] = 1
+                self.set += 1
+                if self.set > FLAGS // 3:
+                    self.flags, self.set = bytearray(FLAGS), 0
+                return
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         import regex
@@ -39,10 +66,7 @@ class Encoder:
         self.special = re.compile("|".join(added)).search if added else lambda text: None
         self.letters = _byte_alphabet()
         self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size() + 1)]
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.pieces, self.words, self.texts = Kept(PIECES), Kept(WORDS), Kept(TEXTS)
 
     def _merge(self, piece: str) -> bytes:
         """The ids of a piece, from the library's model."""
@@ -54,31 +78,30 @@ class Encoder:
         return b"".join([four[t.id] for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        kept = self.pieces
+        ids = kept.new.get(piece)
         if ids is None:
-            ids = self.old_pieces.get(piece)
-            if ids is None:
+            ids = kept.old.get(piece)
+            known = ids is not None
+            if not known:
                 ids = self._merge(piece)
-            if len(self.pieces) >= KEEP:
-                self.old_pieces, self.pieces = self.pieces, {}
             if len(piece) <= 64:
-                self.pieces[piece] = ids
+                kept.put(piece, ids, known)
         return ids
 
     def _word(self, word: str) -> bytes:
         """The ids of a word and the space before it."""
-        ids = self.old_words.get(word)
-        if ids is None:
+        ids = self.words.old.get(word)
+        known = ids is not None
+        if not known:
             if word.isalpha():
                 ids = self._piece(" " + word)
             elif word[:-1].isalpha() and word[-1] in ".,;:!?":
                 ids = self._piece(" " + word[:-1]) + self._piece(word[-1])
             else:
                 ids = self._plain(" " + word)
-        if len(self.words) >= KEEP:
-            self.old_words, self.words = self.words, {}
         if len(word) <= 64:
-            self.words[word] = ids
+            self.words.put(word, ids, known)
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -88,12 +111,25 @@ class Encoder:
         """The ids of a whole text as little-endian 32-bit integers, the same as the library's; none for null."""
         if not text:
             return b""
+        if len(text) > TEXT_CHARS:
+            return self._text(text)
+        kept = self.texts
+        ids = kept.new.get(text)
+        if ids is None:
+            ids = kept.old.get(text)
+            known = ids is not None
+            if not known:
+                ids = self._text(text)
+            kept.put(text, ids, known)
+        return ids
+
+    def _text(self, text: str) -> bytes:
         if self.special(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _RISKY.search(text):
             return self._plain(text)
         first, *words = text.split(" ")
-        out = list(map(self.words.get, words))
+        out = list(map(self.words.new.get, words))
         if None in out:
             word = self._word
             out = [word(w) if ids is None else ids for w, ids in zip(words, out)]
