@@ -4,14 +4,16 @@ A source's documents, in a fixed shuffled order, are cut into blocks of BLOCK ch
 weight w is released at slot floor(k / w) and due at slot ceil((k + 1) / w); in every slot the released block that is
 due first is taken.  At any slot each source has then had its weight's share of the slots to less than one block.
 
-Weights are rounded to fractions of PERIOD, so the schedule repeats after PERIOD slots.  One period is laid out on the
-driver: its size depends on the parameter and the list of sources, never on the documents.
+For the order, weights are rounded to fractions of PERIOD, so the schedule repeats after PERIOD slots.  One period is
+laid out on the driver: its size depends on the parameter and the list of sources, never on the documents.  How much of
+each source is in the mixture follows the weights themselves, unrounded.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,13 +74,15 @@ def capped(sizes: dict[str, int], most: float = MOST) -> dict[str, float]:
 
 
 def mix(
-    docs: DataFrame, size: Column, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD
+    docs: DataFrame, size: Column, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None
 ) -> DataFrame:
     """(doc, block, release, deadline, slot, selected) for each row of docs (doc_id, source), doc being the row.
 
     size is a document's characters.  weights maps sources to target weights; by default they are the sources' sizes,
-    capped.  selected holds for blocks released before the first source runs out: up to there the mixture follows the
-    weights.  Sources without a positive weight get no slot and aren't selected.
+    capped.  selected holds for the blocks that each source gives, by its weight, until the first source runs out.
+    Weights count exactly; only slots, releases and deadlines follow them as rounded to PERIOD, so a source too small for
+    its slot is used up early and the others go on.  With a period, the rounded weights are what selected follows, too.
+    Sources without a positive weight get no slot and aren't selected.
 
     A null source is a source of its own; a null or empty text counts one character, as every document does on top of
     its own; documents longer than a block take up the slots they cover.  Repeated rows are rows of their own.
@@ -102,13 +106,17 @@ def mix(
     if weights is None:
         weights = capped(sizes)
     weights = {s: weights.get(s, 0) for s in sizes}
-    period = max(period, 4 * len(sizes))
+    rounded, period = period is not None, max(period or PERIOD, 4 * len(sizes))
     slots = shares(weights, period) if any(w > 0 for w in weights.values()) else {}
-    ends = [-(-(-(-sizes[s] // block)) * period // n) for s, n in slots.items()]
-    horizon = min(ends, default=0)
+    whole = sum(Fraction(weights[s]) for s in slots)
+    exact = {s: Fraction(n, period) if rounded else Fraction(weights[s]) / whole for s, n in slots.items()}
+    horizon = min((-(-sizes[s] // block) / w for s, w in exact.items()), default=0)
+    horizon = math.ceil(horizon) if rounded else horizon
+    # A source gives at most the blocks it has.
+    given = {s: min(-(-sizes[s] // block), math.ceil(horizon * w)) for s, w in exact.items()}
     # Both tables are as long as the period and the list of sources.
     laid = spark.createDataFrame(schedule(slots, period), "source string, i long, t long")
-    counts = spark.createDataFrame(list(slots.items()), "source string, n long")
+    counts = spark.createDataFrame([(s, n, given[s]) for s, n in slots.items()], "source string, n long, given long")
     numbered = placed.join(guarded_broadcast(durable(bases, "bases")), ["source", "chunk"])
     numbered = numbered.withColumn("block", F.expr(f"(base + before) div {block}"))
     numbered = numbered.join(F.broadcast(counts), "source", "left").withColumn("i", F.expr("block % n"))
@@ -119,7 +127,7 @@ def mix(
         release.alias("release"),
         F.expr(f"((block + 1) * {period}L + n - 1) div n").alias("deadline"),
         F.expr(f"(block div n) * {period}L + t").alias("slot"),
-        F.coalesce(release < horizon, F.lit(False)).alias("selected"),
+        F.coalesce(F.col("block") < F.col("given"), F.lit(False)).alias("selected"),
     )
 
 

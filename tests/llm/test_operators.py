@@ -179,6 +179,16 @@ def test_mix_against_brute_force(spark, docs, odd):
     assert mixing.mix(odd.limit(0), F.length("text")).count() == 0
 
 
+def test_a_tiny_source_does_not_end_the_mixture(spark):
+    rows = [(i, f"s{i % 5}", 1000) for i in range(5000)] + [(5000, "tiny", 50), (5001, None, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    got = mixing.mix(df, F.col("n"), block=20).collect()
+    assert len(got) == len(rows) and all(r["selected"] for r in got)
+    # A source that binds by its target weight still ends the mixture, whatever the others' sizes.
+    some = mixing.mix(df, F.col("n"), {"s0": 0.5, "s1": 0.25, "tiny": 1e-7}, block=1001).where("selected").groupBy("doc.source").count()
+    assert {r[0]: r[1] for r in some.collect()} == {"s0": 1000, "s1": 500, "tiny": 1}
+
+
 # --- attribution ------------------------------------------------------------------------------------------------------
 
 
