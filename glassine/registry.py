@@ -775,8 +775,7 @@ def people_pointers(spark, d):
 @query()
 def suppressed_boxes(spark, d):
     """Boxes left by non-maximum suppression."""
-    rows = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
-    boxes = rows.select(
+    boxes = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("hash"), F.col("l_linenumber").cast("long").alias("idx"), (F.col("l_partkey") % 40).cast("double").alias("x"),
         (F.col("l_suppkey") % 40).cast("double").alias("y"), F.lit(30.0).alias("w"), F.lit(30.0).alias("h"), F.col("l_quantity").alias("score"),
     )

@@ -331,3 +331,10 @@ def test_grammar():
     assert [g.strip_filler(t) for t in ("all my august photos", "the beach", "all of them")] == ["august photos", "beach", "them"]
     c = g.parse_clause("delete all of them")
     assert (c.referent, c.rest) == ("them", "")
+
+
+def test_every_image_has_its_boxes_suppressed(spark, sf):
+    from glassine import registry
+
+    got = {r[0] for r in registry.queries()["suppressed_boxes"](spark, sf).select("hash").distinct().collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().collect()}
