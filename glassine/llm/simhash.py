@@ -23,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, durable, small_batches
+from .shared import connected_components, durable, guarded_broadcast, small_batches
 
 ONES = (1 << 64) - 1
 #: Keys with more fingerprints than this are cut again.
 CROWDED = 2048
+#: A sketch of 128 has a standard error of 0.035 at 0.8; pairs so far below the similarity are refused by it.
+MARGIN = 0.2
+#: Where a key has more pairs than this for each member, its members are emitted instead.
+DENSE = 4
 
 
 def _signed(x: int) -> int:
@@ -89,35 +93,37 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, sketch_shingle: int = 5) -> DataFrame:
-    """(doc_id, fp) of docs (doc_id, text); with sketch > 0 also a second fingerprint, fp2, and the sketch smallest
-    hashes of its shingles of sketch_shingle words.
+    """(doc_id, fp) of docs (doc_id, text); with sketch > 0 also docs' lot, a second fingerprint, fp2, the sketch
+    smallest hashes of its distinct shingles of sketch_shingle words, and node, a hash of all of them.
 
     Words are runs of bytes other than ASCII white space, after A-Z is lower-cased.  A null or empty
     text has no words and the fingerprint zero.  Whole texts are read, one batch at a time.
     """
-    schema = "doc_id long, fp long" + (", fp2 long, sketch array<long>" if sketch else "")
+    schema = "doc_id long, fp long" + (", fp2 long, sketch array<long>, node long, lot long" if sketch else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, others, sketches = [], [], []
+            fps, others, sketches, nodes = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").lower().split()
                 hashes = shingle_hashes(words, shingle)
                 fps.append(_signed(majority(hashes)))
                 if sketch:
                     others.append(_signed(majority(remixed(hashes))))
-                    sketches.append(np.unique(shingle_hashes(words, sketch_shingle).view("<i8"))[:sketch])
+                    distinct = np.unique(shingle_hashes(words, sketch_shingle).view("<i8"))
+                    sketches.append(distinct[:sketch].copy())
+                    nodes.append(_signed(xxhash.xxh64_intdigest(distinct.tobytes(), 42)))
             columns = [batch.column(0), pa.array(fps, pa.int64())]
             if sketch:
-                columns += [pa.array(others, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "fp2", "sketch"][: len(columns)])
+                columns += [pa.array(others, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(nodes, pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "fp2", "sketch", "node", "lot"][: len(columns)])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["lot"] if sketch else []))
     return small_batches(slim).mapInArrow(run, schema)
 
 
-def walk(members: np.ndarray, max_bits: int, nearest: bool) -> list[tuple[int, int]]:
-    """Links within max_bits that keep members connected; with nearest, also each one's nearest."""
+def walk(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Links within max_bits that keep members connected."""
     links, rest = [], np.arange(1, len(members))
     front = np.zeros(1, np.int64)
     while True:
@@ -135,18 +141,29 @@ def walk(members: np.ndarray, max_bits: int, nearest: bool) -> list[tuple[int, i
             if not len(rest):
                 break
             front, rest = rest[:1], rest[1:]
-    if nearest and len(members) > 2:
-        for i in range(0, len(members), 512):
-            apart = np.bitwise_count(members[i : i + 512][:, None] ^ members[None, :]).astype(np.int16)
-            apart[np.arange(len(apart)), np.arange(i, i + len(apart))] = 99
-            best = apart.argmin(1)
-            good = apart[np.arange(len(apart)), best] <= max_bits
-            links += zip(members[i : i + 512][good].tolist(), members[best[good]].tolist())
     return links
 
 
-def _verified(keyed: DataFrame, max_bits: int, nearest: bool) -> DataFrame:
-    """Links (a, b) between the fingerprints of one key; keyed: (key, fp)."""
+def close_pairs(members: np.ndarray, max_bits: int) -> tuple[list[tuple[int, int]], np.ndarray | None]:
+    """All pairs within max_bits, or, where they are more than DENSE for each member, the members that are in one."""
+    pairs, n, near = [], 0, np.zeros(len(members), bool)
+    for i in range(0, len(members), 512):
+        apart = np.bitwise_count(members[i : i + 512][:, None] ^ members[None, :]) <= max_bits
+        apart[np.arange(len(apart)), np.arange(i, i + len(apart))] = False
+        near[i : i + 512] = apart.any(1)
+        x, y = np.nonzero(apart)
+        x, y = x[y > x + i] + i, y[y > x + i]
+        n += len(x)
+        if n <= DENSE * len(members):
+            pairs += zip(members[x].tolist(), members[y].tolist())
+    return ([], members[near]) if n > DENSE * len(members) else (pairs, None)
+
+
+def _verified(keyed: DataFrame, max_bits: int, every: bool) -> DataFrame:
+    """Links (key, a, b) between the fingerprints of one key; keyed: (key, fp).
+
+    With every, all links have key 0, but for a key that has too many: that leaves (key, a, null) for each member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -155,10 +172,21 @@ def _verified(keyed: DataFrame, max_bits: int, nearest: bool) -> DataFrame:
             two = starts[sizes == 2]
             two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_bits]
             found = list(zip(fps[two].tolist(), fps[two + 1].tolist()))
+            crowds = []
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                found += walk(fps[s : s + n], max_bits, nearest)
+                if every:
+                    pairs, members = close_pairs(fps[s : s + n], max_bits)
+                    found += pairs
+                    if members is not None:
+                        crowds.append((int(keys[s]), members))
+                else:
+                    found += walk(fps[s : s + n], max_bits)
             a, b = np.array(found, np.uint64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            more = np.concatenate([m for _, m in crowds]) if crowds else a[:0]
+            key = np.r_[np.zeros(len(a), np.int64), np.repeat(np.array([k for k, _ in crowds], np.int64), [len(m) for _, m in crowds])]
+            null = np.arange(len(key)) >= len(a)
+            columns = [pa.array(key.astype(np.int64)), pa.array(np.r_[a, more].view(np.int64)), pa.array(np.r_[b, more].view(np.int64), mask=null)]
+            return pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
 
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
@@ -171,13 +199,14 @@ def _verified(keyed: DataFrame, max_bits: int, nearest: bool) -> DataFrame:
             yield links(keys, fps)
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "key long, a long, b long")
 
 
-def links(fps: DataFrame, max_bits: int = 3, masks: list[int] | None = None, nearest: bool = False) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 3, masks: list[int] | None = None, every: bool = False) -> DataFrame:
     """Verified links (a, b) of at most max_bits among the distinct fingerprints fps (fp).
 
-    Exact for the default masks.  Other masks find the pairs that share one of them.
+    Exact for the default masks.  Other masks find the pairs that share one of them.  With every, (key, a, b) as of
+    _verified: for pairs that another test has yet to decide, where a forest may not be enough.
     """
     masks = masks or exact_masks(max_bits)
     spread = F.posexplode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("i", "mask")
@@ -194,7 +223,8 @@ def links(fps: DataFrame, max_bits: int = 3, masks: list[int] | None = None, nea
         plain = plain.union(
             again.select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "i", "j").alias("key"), "fp")
         )
-    return _verified(plain, max_bits, nearest).distinct()
+    found = _verified(plain, max_bits, every)
+    return (found if every else found.select("a", "b")).distinct()
 
 
 def components(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -223,33 +253,133 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
     return components(found, edges)
 
 
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of docs (node, text): each text's distinct shingle hashes, whole and in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                sets = [
+                    np.unique(shingle_hashes((t or b"").lower().split(), shingle).view("<i8"))
+                    for t in part.column(1).cast(pa.binary()).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return small_batches(docs).mapInArrow(run, "node long, shingles array<long>")
+
+
+def alike(members: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that keep sets of Jaccard >= similarity connected: a walk over pairs that pass, never all pairs.
+
+    A set meets only the sets still without a link, so a pair that fails uses up nothing.
+    """
+    sizes = np.array([len(m) for m in members])
+    flat = np.concatenate(members)
+    owner = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(flat, kind="stable")
+    values, owner = flat[order], owner[order]
+    links, left, todo = [], np.ones(len(members), bool), []
+    for first in range(len(members)):
+        if not left[first]:
+            continue
+        left[first] = False
+        todo.append(first)
+        while todo:
+            i = todo.pop()
+            if not left.any():
+                return links
+            # The owners of each of i's shingles stand together.
+            lo, hi = np.searchsorted(values, members[i], "left"), np.searchsorted(values, members[i], "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+            both = np.bincount(owner[at], minlength=len(members))
+            near = left & (both >= similarity * (sizes + sizes[i] - both))
+            hit = np.flatnonzero(near).tolist()
+            links += [(i, j) for j in hit]
+            left[near] = False
+            todo += hit
+    return links
+
+
+def _dense_links(grouped: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of Jaccard >= similarity within each key; grouped: (key, node, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = alike(sets, similarity) if len(sets) > 1 else []
+            a, b = [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            column = batch.column(2)
+            for i, (k, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k != key:
+                    if nodes:
+                        yield links()
+                    key, nodes, sets = k, [], []
+                nodes.append(node)
+                sets.append(column[i].values.to_numpy(zero_copy_only=False).copy())
+        if nodes:
+            yield links()
+
+    dealt = small_batches(grouped).repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, sketch: int = 128) -> DataFrame:
     """One row per document: doc_id and component_id, linking texts whose shingles have Jaccard >= similarity.
 
     Texts that alike differ in more bits than exact blocks allow (8 to 10 of 64 at 0.8).  Two independent three-word
     fingerprints are therefore joined on 100 sampled 22-bit masks each, on top of the exact blocks: a pair at 8 bits is
-    met with probability 0.93 by one fingerprint, at 10 bits with 0.62, at 12 with 0.29; both are independent.  Each link
-    is then verified by the bottom-sketch estimate of Jaccard, exact up to sketch distinct shingles.
+    met with probability 0.93 by one fingerprint, at 10 bits with 0.62, at 12 with 0.29; both are independent.
+
+    Texts with the same set of shingles are one node.  Pairs of a key are emitted where they are few for its members;
+    the members of a key where they are many come with their shingles and leave a forest over the pairs that pass.
+    Jaccard is always that of the whole sets; the sketch only refuses pairs that are MARGIN below.
     """
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("lot"))
     found = durable(fingerprints(docs, 3, sketch, shingle), "fingerprints")
-    nodes = found.groupBy("fp").agg(F.min_by(F.struct("fp2", "sketch"), "doc_id").alias("s"), F.first(F.struct("fp2", "sketch")).alias("any"))
-    nodes = durable(nodes.select("fp", F.coalesce("s", "any").alias("s")).select("fp", "s.*"), "distinct")
+    least = F.min_by(F.struct("lot", "fp", "fp2", "sketch"), "lot").alias("s")
+    nodes = durable(found.groupBy("node").agg(least).select("node", "s.*"), "distinct")
     masks = exact_masks(3) + sampled_masks(100, 22)
-    edges = links(nodes.select("fp"), 12, masks, nearest=True)
-    of = durable(nodes.select("fp2", "fp"), "second")
-    more = links(durable(of.select("fp2").distinct().withColumnRenamed("fp2", "fp"), "distinct"), 12, masks, nearest=True)
-    # Fingerprints of which the second is the same need linking as well.
-    same = of.groupBy("fp2").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    more = more.join(of.select(F.col("fp2").alias("a"), F.col("fp").alias("fa")), "a")
-    more = more.join(of.select(F.col("fp2").alias("b"), F.col("fp").alias("fb")), "b").select("fa", "fb")
-    equal = of.join(same, "fp2").select("fp", "b")
-    edges = durable(edges.union(more).union(equal).where("a <> b").distinct(), "links")
-    left = nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("x"))
-    right = nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("y"))
+    few, many = [], []
+    for name in ("fp", "fp2"):
+        of = durable(nodes.select(F.col(name).alias("fp"), "node"), "prints")
+        sizes = durable(of.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("node")), "sizes")
+        met = durable(links(sizes.select("fp"), 12, masks, every=True), "met")
+        one = sizes.where("n = 1").select("fp", "node")
+        pairs = met.where("b IS NOT NULL").select("a", "b")
+        single = pairs.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a", "left")
+        single = durable(single.join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b", "left"), "single")
+        few.append(single.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        # Fingerprints of several nodes, and pairs with them, are groups of nodes.
+        grouped = single.where("x IS NULL OR y IS NULL").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
+        grouped = grouped.union(met.where("b IS NULL").select("key", F.col("a").alias("fp")))
+        grouped = grouped.union(sizes.where("n > 1").select(F.xxhash64("fp").alias("key"), "fp"))
+        many.append(grouped.distinct().join(of, "fp").select(F.xxhash64("key", F.lit(name)).alias("key"), "node"))
+    dense = durable(many[0].union(many[1]), "dense")
+    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, sketch)
     both = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y")))
-    good = edges.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * F.size(union))
-    return components(found.select("doc_id", "fp"), good.select("a", "b")).drop("fp")
+    pairs = few[0].union(few[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likely = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity - MARGIN) * F.size(union))
+    likely = durable(likely.select("a", "b"), "likely")
+    # Only texts that may have a partner are read again.
+    needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(dense.select("node")).distinct()
+    needed = durable(needed.join(nodes.select("node", "lot"), "node"), "needed")
+    texts = docs.join(guarded_broadcast(needed), "lot").select("node", F.col("text").cast("string").alias("text"))
+    sets = durable(_sets(texts, shingle), "sets")
+    # Copies of a row have the same lot.
+    sets = durable(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    good = likely.join(x, "a").join(y, "b").where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
+    edges = durable(good.select("a", "b").union(_dense_links(dense.join(sets, "node").select("key", "node", "shingles"), similarity)), "links")
+    return components(found.select("doc_id", F.col("node").alias("fp")), edges).drop("fp")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

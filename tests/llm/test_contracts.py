@@ -206,6 +206,24 @@ def test_near_duplicates_of_the_stage(spark):
     assert all(group[i] == group[c] for i, c in got.items())
 
 
+def test_star_of_copies(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    texts = [" ".join(base)]
+    for i in range(200):
+        copy = list(base)
+        for at in rng.choice(np.arange(5, 295, 10), 6, replace=False):
+            copy[at] = f"x{i}"
+        texts.append(" ".join(copy))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert min(alike) >= 0.8
+    # The original has the largest id, so that a walk starts at a copy.
+    df = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter(r["component_id"] for r in simhash.near_duplicates(df).collect())
+    assert got.most_common(1)[0][1] >= 0.97 * len(texts)
+
+
 # --- SpotSigs ---------------------------------------------------------------------------------------------------------
 
 
