@@ -224,6 +224,29 @@ def test_star_of_copies(spark):
     assert got.most_common(1)[0][1] >= 0.97 * len(texts)
 
 
+def test_near_duplicates_count_whole_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(1000)]
+        copy = list(base)
+        n = 21 if g % 2 else 23  # Jaccard 0.809 and 0.793, far within the sketch's error
+        for at in 10 + 20 * rng.permutation(48)[:n]:
+            copy[at] = "changed"
+        a, b = (set(zip(*(t[k:] for k in range(5)))) for t in (base, copy))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        want[g] = len(a & b) / len(a | b) >= 0.8
+    # One repeated shingle decides both fingerprints of these, which share little else.
+    filler = "a b c " * 400
+    rows += [(1000, filler + " ".join(f"p{i}" for i in range(200))), (1001, filler + " ".join(f"q{i}" for i in range(200)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got[1000] == 1000 and got[1001] == 1001
+    linked = {g: got[2 * g + 1] == 2 * g for g in want}
+    assert not any(linked[g] for g in want if not want[g])
+    assert sum(linked[g] for g in want if want[g]) >= 0.95 * sum(want.values())
+
+
 # --- SpotSigs ---------------------------------------------------------------------------------------------------------
 
 
