@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
 Every language has a Bloom filter of its n-grams; the filters share their hash functions and are stored sliced:
-slot i holds one bit per language.  The bitwise AND of an n-gram's slots is the mask of all languages whose
+slot i holds one bit per language, in as many 64-bit words as the languages need.  The bitwise AND of an n-gram's slots is the mask of all languages whose
 filter contains it.  A text's masks are popcounted by language, each count is corrected for the filter's
 false-positive rate, and the largest share of the text's n-grams decides.
 """
@@ -25,8 +25,8 @@ from .shared import small_batches
 N, SLOT_BITS, PROBES = 4, 20, 3
 #: About this many documents of each language are learned from; a larger table is sampled by hash.
 LEARN_PER_LANG = 2000
-#: At most so many languages, the most frequent ones.
-MAX_LANGS = 64
+#: Languages in a word of a slot.
+WORD = 64
 #: An n-gram belongs to a language where it is at least this share as frequent as where it is most frequent.
 SHARE, LEAST_COUNT = 0.2, 2
 #: Characters and documents handled at once.
@@ -91,7 +91,7 @@ class Model:
 
     def rates(self) -> np.ndarray:
         """Each language's false-positive rate: the filled share of its filter to the power of the probes."""
-        bits = [float(((self.table >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(self.langs))]
+        bits = [float(((self.table[:, i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean()) for i in range(len(self.langs))]
         return np.array(bits) ** PROBES
 
 
@@ -99,15 +99,15 @@ def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
     """A model of docs (text, lang), from about per_lang documents of each language.
 
     Rows without text or lang are left out.  Which rows are taken follows the hash of all their columns, so that copies
-    of a text are taken or left one by one.  The sample, and so all that reaches the driver, is bounded: one mask for
-    each of 2**SLOT_BITS slots at most.
+    of a text are taken or left one by one.  The sample, and so all that reaches the driver, is bounded: for every
+    64 languages one mask for each of 2**SLOT_BITS slots at most.
     """
     spark = docs.sparkSession
     lot = F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_000)) / 1_000_000
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string"), lot.alias("lot"))
-    found = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    found = docs.groupBy("lang").count().collect()
     found.sort(key=lambda r: r["lang"])
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
+    table = np.zeros((1 << SLOT_BITS, max(1, -(-len(found) // WORD))), np.uint64)
     if not found:
         return Model([], 0, table)
     rates = spark.createDataFrame(
@@ -136,9 +136,9 @@ def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
     )
     probes = F.array(*(F.shiftrightunsigned("gram", SLOT_BITS * k).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for k in range(PROBES)))
     slots = member.select("i", F.explode(probes).alias("slot"))
-    bits = F.expr("bit_or(shiftleft(1L, i))").alias("bits")
-    packed = slots.groupBy("slot").agg(bits).toArrow()
-    table[packed.column(0).to_numpy()] = packed.column(1).to_numpy().view(np.uint64)
+    bits = F.expr(f"bit_or(shiftleft(1L, i % {WORD}))").alias("bits")
+    packed = slots.groupBy("slot", F.expr(f"i div {WORD}").alias("word")).agg(bits).toArrow()
+    table[packed.column(0).to_numpy(), packed.column(1).to_numpy()] = packed.column(2).to_numpy().view(np.uint64)
     common = max(range(len(found)), key=lambda i: (found[i]["count"], -i))
     return Model([r["lang"] for r in found], common, table)
 
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     that the language has, corrected for false positives.  Ties go to the language first in order.
     """
     langs, common, rates = model.langs, model.common, model.rates()
-    width = next(w for w in (8, 16, 32, 64) if len(langs) <= w)
+    width = next(w for w in (8, 16, 32, 64) if len(langs) <= w or w == WORD)
     table = model.table.astype(f"u{width // 8}")
     packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
     probe = np.uint64((1 << SLOT_BITS) - 1)
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     mask &= table[(h >> np.uint64(SLOT_BITS * k)) & probe]
                 total += np.bincount(of, minlength=len(texts))
                 for i in range(len(langs)):
-                    one = (mask >> table.dtype.type(i)) & table.dtype.type(1)
+                    one = (mask[:, i // WORD] >> table.dtype.type(i % WORD)) & table.dtype.type(1)
                     hits[:, i] += np.bincount(of, weights=one, minlength=len(texts))
             share = np.clip((hits / np.maximum(total, 1)[:, None] - rates) / (1 - rates), 0, 1)
             share[total == 0] = 0

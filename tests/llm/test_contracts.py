@@ -93,6 +93,15 @@ def test_language_edges(spark, odd, docs):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    words = {f"l{i:03}": " ".join("".join(chr(97 + (i * 7 + j * k) % 26) for k in range(3, 11)) + chr(0x4E00 + i) * 5 for j in range(6)) for i in range(70)}
+    df = spark.createDataFrame([(text, lang) for lang, text in words.items() for _ in range(3)], "text string, lang string")
+    model = langid.train(df)
+    assert len(model.langs) == 70
+    got = {(r["doc"]["lang"], r["lang_pred"]) for r in langid.predict(df, model).collect()}
+    assert got == {(lang, lang) for lang in words}
+
+
 def test_filters_have_no_false_negatives(docs):
     model = langid.train(docs.where("lang = 'en'"))
     probe = np.uint64((1 << langid.SLOT_BITS) - 1)
