@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import durable, small_batches
 
-#: Passages of fewer letters and digits link nothing: "yes" is in every conversation.
+#: Paragraphs and lines of fewer letters and digits link nothing, unless they are the whole passage or message.
 LEAST = 12
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.S)
 #: How mail programs introduce a quotation.
@@ -49,9 +49,9 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 def passages(text: str) -> dict[int, int]:
     """Hashes of a text's normalised whole, paragraphs and lines, with their lengths."""
     out = {}
-    for part in (text, *re.split(r"\n\s*\n", text), *text.split("\n")):
+    for i, part in enumerate((text, *re.split(r"\n\s*\n", text), *text.split("\n"))):
         plain = _JUNK.sub("", part).lower()
-        if len(plain) >= LEAST:
+        if len(plain) >= (LEAST if i else 1):
             out[xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63)] = len(plain)
     return out
 

@@ -58,6 +58,13 @@ def test_queries_without_quotes(spark, sf):
     assert all(turns == sorted(turns) for turns in order.values()) and sum(map(len, order.values())) == want.count()
 
 
+def test_short_messages_are_quoted_whole(spark):
+    rows = [(1, 0, "user", "Sounds good!"), (1, 1, "user", "Something else"), (1, 2, "user", "> Sounds good!\nGreat"), (1, 3, "user", "> !!!\nWhat")]
+    rows += [(2, 0, "user", "好的。"), (2, 1, "user", "> 好的。\n谢谢"), (2, 2, "user", "ok\n\nA longer paragraph of words"), (2, 3, "user", "> ok\nYes")]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in got if r["reply_to"] is not None} == {(1, 2): 0, (2, 1): 0}
+
+
 # --- lines ------------------------------------------------------------------------------------------------------------
 
 
