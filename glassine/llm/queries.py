@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import attribution, decontam, langid, linededup, mixing, quotes, simhash, spotsigs, tokenfile, warc
+from . import attribution, decontam, langid, linededup, mixing, quotes, simhash, spotsigs, stages, tokenfile, warc
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_token_orc": tokenfile.query,
         "op10_attribution": attribution.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": stages.run,
     }
 
 

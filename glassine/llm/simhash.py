@@ -9,12 +9,15 @@ closed into components.
 * Keys with many fingerprints are cut again over their free bits (the same pigeonhole one level down).
   With the exact blocks that fixes at least 48 bits, so no task ever gets more than 2^16 fingerprints of one key.
 * Within a key a breadth-first walk emits a spanning forest, never all pairs.
+
+``near_duplicates`` links by Jaccard similarity.  Texts alike in 0.8 of their shingles differ in some 10 of 64 bits, too
+many for blocks; there the components of the pigeonhole join are one kind of group and bands of minimal hashes another,
+and whole shingle sets decide within each.
 """
 
 from __future__ import annotations
 
 import itertools
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +31,12 @@ from .shared import connected_components, durable, guarded_broadcast, small_batc
 ONES = (1 << 64) - 1
 #: Keys with more fingerprints than this are cut again.
 CROWDED = 2048
-#: A sketch of 128 has a standard error of 0.035 at 0.8; pairs so far below the similarity are refused by it.
-MARGIN = 0.2
-#: Where a key has more pairs than this for each member, its members are emitted instead.
-DENSE = 4
+#: Bands of minimal hashes and hashes of a band: a pair at 0.8 shares a band with probability 0.998.
+BANDS, ROWS = 20, 6
+#: How often every group's members meet one of them before the members left are compared with each other.
+ROUNDS = 3
+#: Members of a tile; two tiles are compared at once.
+TILE = 256
 
 
 def _signed(x: int) -> int:
@@ -50,12 +55,6 @@ def exact_masks(max_bits: int = 3, blocks: int | None = None) -> list[int]:
     return [sum(c) for c in itertools.combinations(_blocks(list(range(64)), blocks), blocks - max_bits)]
 
 
-def sampled_masks(n: int, bits: int, seed: int = 7) -> list[int]:
-    """n masks of random bits, for distances at which every combination of blocks would be too many."""
-    rng = random.Random(seed)
-    return [sum(1 << b for b in rng.sample(range(64), bits)) for _ in range(n)]
-
-
 def _finer(mask: int, max_bits: int) -> list[int]:
     """Masks that hold mask and, of its free bits, every half of 2 * max_bits blocks."""
     free = [b for b in range(64) if not mask >> b & 1]
@@ -84,42 +83,21 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def remixed(hashes: np.ndarray) -> np.ndarray:
-    """The hashes through another mixer, for a second fingerprint that errs independently."""
-    h = hashes ^ (hashes >> np.uint64(31))
-    h = h * np.uint64(0x7FB5D329728EA185)
-    h = h ^ (h >> np.uint64(27))
-    return (h * np.uint64(0x81DADEF4BC2DD44D)) ^ (h >> np.uint64(33))
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, sketch_shingle: int = 5) -> DataFrame:
-    """(doc_id, fp) of docs (doc_id, text); with sketch > 0 also docs' lot, a second fingerprint, fp2, the sketch
-    smallest hashes of its distinct shingles of sketch_shingle words, and node, a hash of all of them.
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) of docs (doc_id, text).
 
     Words are runs of bytes other than ASCII white space, after A-Z is lower-cased.  A null or empty
     text has no words and the fingerprint zero.  Whole texts are read, one batch at a time.
     """
-    schema = "doc_id long, fp long" + (", fp2 long, sketch array<long>, node long, lot long" if sketch else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, others, sketches, nodes = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = (text or b"").lower().split()
-                hashes = shingle_hashes(words, shingle)
-                fps.append(_signed(majority(hashes)))
-                if sketch:
-                    others.append(_signed(majority(remixed(hashes))))
-                    distinct = np.unique(shingle_hashes(words, sketch_shingle).view("<i8"))
-                    sketches.append(distinct[:sketch].copy())
-                    nodes.append(_signed(xxhash.xxh64_intdigest(distinct.tobytes(), 42)))
-            columns = [batch.column(0), pa.array(fps, pa.int64())]
-            if sketch:
-                columns += [pa.array(others, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(nodes, pa.int64()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "fp2", "sketch", "node", "lot"][: len(columns)])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            fps = [_signed(majority(shingle_hashes((t or b"").lower().split(), shingle))) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["lot"] if sketch else []))
-    return small_batches(slim).mapInArrow(run, schema)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(slim).mapInArrow(run, "doc_id long, fp long")
 
 
 def walk(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -144,26 +122,8 @@ def walk(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def close_pairs(members: np.ndarray, max_bits: int) -> tuple[list[tuple[int, int]], np.ndarray | None]:
-    """All pairs within max_bits, or, where they are more than DENSE for each member, the members that are in one."""
-    pairs, n, near = [], 0, np.zeros(len(members), bool)
-    for i in range(0, len(members), 512):
-        apart = np.bitwise_count(members[i : i + 512][:, None] ^ members[None, :]) <= max_bits
-        apart[np.arange(len(apart)), np.arange(i, i + len(apart))] = False
-        near[i : i + 512] = apart.any(1)
-        x, y = np.nonzero(apart)
-        x, y = x[y > x + i] + i, y[y > x + i]
-        n += len(x)
-        if n <= DENSE * len(members):
-            pairs += zip(members[x].tolist(), members[y].tolist())
-    return ([], members[near]) if n > DENSE * len(members) else (pairs, None)
-
-
-def _verified(keyed: DataFrame, max_bits: int, every: bool) -> DataFrame:
-    """Links (key, a, b) between the fingerprints of one key; keyed: (key, fp).
-
-    With every, all links have key 0, but for a key that has too many: that leaves (key, a, null) for each member.
-    """
+def _verified(keyed: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) between the fingerprints of one key; keyed: (key, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -172,21 +132,10 @@ def _verified(keyed: DataFrame, max_bits: int, every: bool) -> DataFrame:
             two = starts[sizes == 2]
             two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_bits]
             found = list(zip(fps[two].tolist(), fps[two + 1].tolist()))
-            crowds = []
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                if every:
-                    pairs, members = close_pairs(fps[s : s + n], max_bits)
-                    found += pairs
-                    if members is not None:
-                        crowds.append((int(keys[s]), members))
-                else:
-                    found += walk(fps[s : s + n], max_bits)
+                found += walk(fps[s : s + n], max_bits)
             a, b = np.array(found, np.uint64).reshape(-1, 2).T
-            more = np.concatenate([m for _, m in crowds]) if crowds else a[:0]
-            key = np.r_[np.zeros(len(a), np.int64), np.repeat(np.array([k for k, _ in crowds], np.int64), [len(m) for _, m in crowds])]
-            null = np.arange(len(key)) >= len(a)
-            columns = [pa.array(key.astype(np.int64)), pa.array(np.r_[a, more].view(np.int64)), pa.array(np.r_[b, more].view(np.int64), mask=null)]
-            return pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
@@ -199,18 +148,15 @@ def _verified(keyed: DataFrame, max_bits: int, every: bool) -> DataFrame:
             yield links(keys, fps)
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "key long, a long, b long")
-
+    return dealt.mapInArrow(run, "a long, b long")
 
-def links(fps: DataFrame, max_bits: int = 3, masks: list[int] | None = None, every: bool = False) -> DataFrame:
-    """Verified links (a, b) of at most max_bits among the distinct fingerprints fps (fp).
 
-    Exact for the default masks.  Other masks find the pairs that share one of them.  With every, (key, a, b) as of
-    _verified: for pairs that another test has yet to decide, where a forest may not be enough.
-    """
-    masks = masks or exact_masks(max_bits)
+def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Verified links (a, b) that keep connected what max_bits connect among the distinct fingerprints fps (fp)."""
+    masks = exact_masks(max_bits)
     spread = F.posexplode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("i", "mask")
-    keyed = fps.select("fp", spread).select(
+    # A written table has few files; its rows are dealt out before each makes one for every mask.
+    keyed = fps.repartition("fp").select("fp", spread).select(
         F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "i").alias("key"), "fp", "i"
     )
     counts = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
@@ -218,17 +164,17 @@ def links(fps: DataFrame, max_bits: int = 3, masks: list[int] | None = None, eve
     plain = shared.where(F.col("n") <= CROWDED).select("key", "fp")
     crowded = shared.where(F.col("n") > CROWDED)
     if not counts.where(F.col("n") > CROWDED).isEmpty():
-        finer = F.array(*(F.array(*(F.lit(_signed(m)) for m in _finer(mask, 3))) for mask in masks))
+        finer = F.array(*(F.array(*(F.lit(_signed(m)) for m in _finer(mask, max_bits))) for mask in masks))
         again = crowded.select("fp", "i", F.posexplode(F.element_at(finer, F.col("i") + 1)).alias("j", "mask"))
         plain = plain.union(
             again.select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "i", "j").alias("key"), "fp")
         )
-    found = _verified(plain, max_bits, every)
-    return (found if every else found.select("a", "b")).distinct()
+    return _verified(plain, max_bits).distinct()
 
 
 def components(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """found (doc_id, fp, ...) with component_id, the smallest doc_id reachable over edges (a, b) of fingerprints."""
+    """found (doc_id, fp, ...) with root and component_id: over edges (a, b) of fingerprints, the smallest of these and the
+    smallest doc_id that can be reached."""
     roots = connected_components(edges)
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = durable(
@@ -238,7 +184,7 @@ def components(found: DataFrame, edges: DataFrame) -> DataFrame:
         "rooted",
     )
     least = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    labels = durable(rooted.join(least, "root").select("fp", "component_id"), "labels")
+    labels = durable(rooted.join(least, "root").select("fp", "root", "component_id"), "labels")
     return found.join(labels, "fp")
 
 
@@ -250,7 +196,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
     """
     found = durable(fingerprints(docs, shingle), "fingerprints")
     edges = links(durable(found.select("fp").distinct(), "distinct"), max_bits)
-    return components(found, edges)
+    return components(found, edges).drop("root")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -302,14 +248,21 @@ def alike(members: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
     return links
 
 
-def _dense_links(grouped: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of Jaccard >= similarity within each key; grouped: (key, node, shingles)."""
+def _tiled_links(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of Jaccard >= similarity within each key of left (key, node, n), n being the key's size.
+
+    The members of a large key are dealt to tiles and every two tiles are compared, so a task holds two at most.
+    """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = left.withColumn("tiles", tiles).withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    group = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, nodes, members = None, [], []
 
         def links() -> pa.RecordBatch:
-            found = alike(sets, similarity) if len(sets) > 1 else []
+            found = alike(members, similarity) if len(members) > 1 else []
             a, b = [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -319,67 +272,140 @@ def _dense_links(grouped: DataFrame, similarity: float) -> DataFrame:
                 if k != key:
                     if nodes:
                         yield links()
-                    key, nodes, sets = k, [], []
+                    key, nodes, members = k, [], []
                 nodes.append(node)
-                sets.append(column[i].values.to_numpy(zero_copy_only=False).copy())
+                members.append(column[i].values.to_numpy(zero_copy_only=False).copy())
         if nodes:
             yield links()
 
-    dealt = small_batches(grouped).repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    grouped = dealt.select(group, "node").join(sets, "node").select("key", "node", "shingles")
+    return small_batches(grouped.repartition("key").sortWithinPartitions("key", "node")).mapInArrow(run, "a long, b long")
+
+
+def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, lot, node, fp, n, keys) of docs (doc_id, text, lot).
+
+    node is a hash of a text's distinct shingles, n their number, fp the fingerprint and keys has a hash for every band
+    of minimal hashes.  A text without words has no keys.
+    """
+    rng = np.random.default_rng(7)
+    odd, plus = (rng.integers(0, 1 << 64, bands * rows, np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+    fold = rng.integers(0, 1 << 64, (bands, rows), np.uint64) | np.uint64(1)
+
+    def keys(distinct: np.ndarray) -> np.ndarray:
+        least = np.full(bands * rows, ONES, np.uint64)
+        for i in range(0, len(distinct), 256):
+            np.minimum(least, (distinct[i : i + 256, None] * odd + plus).min(0), out=least)
+        key = (least.reshape(bands, rows) * fold).sum(1, dtype=np.uint64)
+        return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps, sizes, lists = [], [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes((text or b"").lower().split(), shingle)
+                distinct = np.unique(hashes)
+                nodes.append(_signed(xxhash.xxh64_intdigest(distinct.tobytes(), 42)))
+                fps.append(_signed(majority(hashes)))
+                sizes.append(len(distinct))
+                lists.append(keys(distinct) if len(distinct) else np.zeros(0, np.int64))
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64())]
+            columns += [pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lot", "node", "fp", "n", "keys"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lot")
+    return small_batches(slim).mapInArrow(run, "doc_id long, lot long, node long, fp long, n long, keys array<long>")
+
 
+def _jaccard(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) have Jaccard >= similarity."""
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    enough = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, sketch: int = 128) -> DataFrame:
-    """One row per document: doc_id and component_id, linking texts whose shingles have Jaccard >= similarity.
 
-    Texts that alike differ in more bits than exact blocks allow (8 to 10 of 64 at 0.8).  Two independent three-word
-    fingerprints are therefore joined on 100 sampled 22-bit masks each, on top of the exact blocks: a pair at 8 bits is
-    met with probability 0.93 by one fingerprint, at 10 bits with 0.62, at 12 with 0.29; both are independent.
+def _joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Edges (a, b) that keep connected what Jaccard >= similarity connects within the groups of members (key, node, size).
 
-    Texts with the same set of shingles are one node.  Pairs of a key are emitted where they are few for its members;
-    the members of a key where they are many come with their shingles and leave a forest over the pairs that pass.
-    Jaccard is always that of the whole sets; the sketch only refuses pairs that are MARGIN below.
+    In every round all members of a group meet one of them, the one that shares most groups with most others, which a
+    text that the others were edited from does.  It has then met all and leaves.  A group whose members are all
+    connected is done.  What a few rounds leave open is compared member by member in tiles.
+    """
+    members = members.withColumn("root", F.col("node"))
+    edges = roots = None
+    for turn in range(ROUNDS + 1):
+        ends = F.min("root").alias("first"), F.max("root").alias("last")
+        groups = members.groupBy("key").agg(F.count("*").alias("n"), *ends, F.bit_xor(F.xxhash64("node")).alias("all"))
+        # Of groups with the same members one is enough.
+        groups = groups.where("first <> last").groupBy("n", "first", "last", "all").agg(F.min("key").alias("key"))
+        groups = durable(groups.select("key", "n"), "groups")
+        if groups.isEmpty():
+            break
+        live = durable(members.join(guarded_broadcast(groups), "key"), "live")
+        if turn == ROUNDS:
+            found = durable(_tiled_links(live.select("key", "node", "n"), sets, similarity), "links")
+            edges = found if edges is None else durable(edges.union(found), "edges")
+            break
+        score = durable(live.groupBy("node").agg(F.sum("n").alias("score")), "score")
+        scored = live.join(guarded_broadcast(score), "node")
+        best = F.max(F.struct("score", "node", "root", "size")).alias("best")
+        best = scored.groupBy("key").agg(best).select(
+            "key", F.col("best.node").alias("b"), F.col("best.root").alias("other"), F.col("best.size").alias("size_b")
+        )
+        best = durable(best, "best")
+        beside = live.join(guarded_broadcast(best), "key").where("node <> b")
+        long_enough = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b")
+        asked = beside.where((F.col("root") != F.col("other")) & long_enough)
+        asked = durable(asked.select(F.col("node").alias("a"), "b").distinct(), "asked")
+        found = durable(_jaccard(asked, sets, similarity), "found")
+        rest = beside.select("key", "node", "size", "root")
+        if not found.isEmpty():
+            edges = found if edges is None else durable(edges.union(found), "edges")
+            # A component so far is a star around its root.
+            stars = found if roots is None else found.union(roots.select("node", "now"))
+            roots = durable(connected_components(stars).withColumnRenamed("root", "now"), "roots")
+            rest = rest.join(guarded_broadcast(roots), "node", "left")
+            rest = rest.select("key", "node", "size", F.coalesce("now", "root").alias("root"))
+        members = durable(rest, "members")
+    return edges
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row per document: doc_id, lot, root and component_id, linking texts whose shingles have Jaccard >= similarity.
+
+    lot is a hash of doc_id and text, root one of the component.  Texts with the same set of shingles are one node.  Two kinds of groups bring
+    nodes together: the components of fingerprints within three bits, by pigeonhole blocks, and equal bands of minimal
+    hashes for the pairs that differ in more bits.  Within a group whole shingle sets are compared, never estimates.
+
+    A null doc_id joins its component, but never names it (a component of null ids has a null component_id).  Null and
+    empty texts have no shingles and are alike.  Repeated rows stay repeated; an empty table gives an empty result;
+    extra columns are ignored.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("lot"))
-    found = durable(fingerprints(docs, 3, sketch, shingle), "fingerprints")
-    least = F.min_by(F.struct("lot", "fp", "fp2", "sketch"), "lot").alias("s")
-    nodes = durable(found.groupBy("node").agg(least).select("node", "s.*"), "distinct")
-    masks = exact_masks(3) + sampled_masks(100, 22)
-    few, many = [], []
-    for name in ("fp", "fp2"):
-        of = durable(nodes.select(F.col(name).alias("fp"), "node"), "prints")
-        sizes = durable(of.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("node")), "sizes")
-        met = durable(links(sizes.select("fp"), 12, masks, every=True), "met")
-        one = sizes.where("n = 1").select("fp", "node")
-        pairs = met.where("b IS NOT NULL").select("a", "b")
-        single = pairs.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a", "left")
-        single = durable(single.join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b", "left"), "single")
-        few.append(single.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        # Fingerprints of several nodes, and pairs with them, are groups of nodes.
-        grouped = single.where("x IS NULL OR y IS NULL").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
-        grouped = grouped.union(met.where("b IS NULL").select("key", F.col("a").alias("fp")))
-        grouped = grouped.union(sizes.where("n > 1").select(F.xxhash64("fp").alias("key"), "fp"))
-        many.append(grouped.distinct().join(of, "fp").select(F.xxhash64("key", F.lit(name)).alias("key"), "node"))
-    dense = durable(many[0].union(many[1]), "dense")
-    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, sketch)
-    both = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y")))
-    pairs = few[0].union(few[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity - MARGIN) * F.size(union))
-    likely = durable(likely.select("a", "b"), "likely")
+    found = durable(signatures(docs, shingle), "signatures")
+    least = F.min_by(F.struct("lot", "fp", "n", "keys"), "lot").alias("s")
+    nodes = durable(found.groupBy("node").agg(least).select("node", "s.*").repartition("node"), "nodes")
+    roots = durable(connected_components(links(durable(nodes.select("fp").distinct(), "distinct"))), "roots")
+    blocks = nodes.join(guarded_broadcast(roots.withColumnRenamed("node", "fp")), "fp", "left")
+    blocks = blocks.select(F.xxhash64(F.coalesce("root", "fp"), F.lit("fp")).alias("key"), "node", F.col("n").alias("size"))
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").alias("size")).union(blocks)
+    shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    members = durable(keyed.join(guarded_broadcast(shared), "key"), "members")
     # Only texts that may have a partner are read again.
-    needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(dense.select("node")).distinct()
-    needed = durable(needed.join(nodes.select("node", "lot"), "node"), "needed")
+    needed = durable(members.select("node").distinct().join(nodes.select("node", "lot"), "node"), "needed")
     texts = docs.join(guarded_broadcast(needed), "lot").select("node", F.col("text").cast("string").alias("text"))
     sets = durable(_sets(texts, shingle), "sets")
-    # Copies of a row have the same lot.
-    sets = durable(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    good = likely.join(x, "a").join(y, "b").where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
-    edges = durable(good.select("a", "b").union(_dense_links(dense.join(sets, "node").select("key", "node", "shingles"), similarity)), "links")
-    return components(found.select("doc_id", F.col("node").alias("fp")), edges).drop("fp")
+    if sets.count() > needed.count():
+        # Copies of a row have the same lot.
+        sets = durable(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    edges = _joined(members, sets, similarity)
+    found = found.select("doc_id", "lot", F.col("node").alias("fp"))
+    if edges is None:
+        edges = found.sparkSession.createDataFrame([], "a long, b long")
+    return components(found, edges).drop("fp")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from glassine.llm import decontam, langid, simhash, spotsigs, tokenfile, warc
+from glassine.llm.shared import connected_components
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -256,6 +257,51 @@ def test_near_duplicates_count_whole_sets(spark):
     assert sum(linked[g] for g in want if want[g]) >= 0.95 * sum(want.values())
 
 
+def test_tiles_and_rounds_agree(spark, monkeypatch):
+    """Groups none of whose members is close to all others, with and without rounds, in one tile and in many."""
+    rng = np.random.default_rng(8)
+    members, sets = [], []
+    for g in range(6):
+        common = rng.integers(0, 1 << 60, 200)
+        for i in range(40):
+            # Neighbours in the row are alike, others aren't.
+            own = [(g << 32) + (i * 12 + k) % 480 for k in range(60)]
+            node = g * 1000 + i
+            sets.append((node, sorted([*common[:60].tolist(), *own])))
+            members += [(g, node, 120), (g + 100, node, 120)]
+    sets = spark.createDataFrame(sets, "node long, shingles array<long>")
+    members = spark.createDataFrame(members, "key long, node long, size long")
+    got = set()
+    for rounds, tile in ((0, 256), (0, 8), (3, 8), (3, 256)):
+        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+        monkeypatch.setattr(simhash, "TILE", tile)
+        edges = simhash._joined(members, sets, 0.8)
+        roots = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+        got.add(tuple(sorted(roots.items())))
+    assert len(got) == 1 and set(roots.values()) == {g * 1000 for g in range(6)} and len(roots) == 240
+
+
+def test_recall_by_band(spark):
+    """Pairs in bands of exact Jaccard from 0.80 up."""
+    rng = np.random.default_rng(12)
+    rows, alike = [], {}
+    for g in range(600):
+        words = [f"g{g}w{i}" for i in range(int(rng.integers(60, 400)))]
+        copy = list(words)
+        places = rng.choice(np.arange(5, len(words) - 5, 10), max(1, int(len(words) * (0.004 + 0.024 * g / 600))))
+        for at in set(places.tolist()):
+            copy[at] = "changed"
+        a, b = (set(zip(*(t[k:] for k in range(5)))) for t in (words, copy))
+        alike[g] = len(a & b) / len(a | b)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert all(got[2 * g + 1] == 2 * g + 1 for g in alike if alike[g] < 0.8)
+    for low in (0.80, 0.84, 0.88, 0.92):
+        band = [g for g in alike if low <= alike[g] < low + 0.04]
+        assert len(band) >= 20 and sum(got[2 * g + 1] == 2 * g for g in band) >= 0.97 * len(band), low
+
+
 # --- SpotSigs ---------------------------------------------------------------------------------------------------------
 
 
