@@ -5,76 +5,9 @@ Each stage takes (spark, docs, sf_dir); its result is written as Parquet and rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from glassine.llm.stages import STAGES, run
 
-from glassine.llm import decontam, langid, mixing, simhash, tokenfile
-from glassine.llm.shared import durable, guarded_broadcast
-
-#: Documents whose best language has less than this share of their n-grams are no language's.
-LEAST_SCORE = 0.1
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids; rows without an id stay."""
-    return docs.join(guarded_broadcast(durable(ids.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti")
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; texts that are null, without letters or in none go."""
-    model = langid.train(docs.where(~langid.held_out()))
-    kept = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select("doc.*")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike in 0.8 of their five-word shingles, the document with the smallest id.
-
-    Rows that repeat an id are one document and leave one row; rows without an id stay.
-    """
-    labels = durable(simhash.near_duplicates(docs.select("doc_id", "text")), "labels")
-    kept = _without(docs, labels.where(F.col("doc_id") != F.col("component_id")))
-    repeated = labels.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.decontaminate(docs.select("doc_id", "text"), items)
-    return _without(docs, found.where("contaminated")).select(*docs.columns)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture: sources in proportion to their sizes, none above a quarter."""
-    return mixing.mix(docs, F.length("text")).where("selected").select("doc.*")
-
-
-def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place, length and checksum in the token files."""
-    return tokenfile.token_files(docs)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mix", mix),
-    ("token_files", token_files),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: No stage but decontamination can be said in SQL; the tests hold each against a brute-force version.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs, name)
-    return docs
