@@ -69,7 +69,8 @@ def attribute(
 
     sections gives the first character of each section of a text, ascending from 0.  The sections of a document have
     all of its tokens between them.  A null or empty text has one section without tokens.  Repeated rows and ids are
-    documents of their own; other columns are not read.
+    documents of their own; other columns are not read.  Texts are encoded whole, however long; an empty table has no
+    sections.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
@@ -86,9 +87,10 @@ def attribute(
                 piece = batch.slice(at, 500)
                 parts: list[list[np.ndarray]] = [[] for _ in names[1:]]
                 counts = []
-                for text in piece.column(1).to_pylist():
+                every, cuts = enc.encode(piece.column(1))
+                for i, text in enumerate(piece.column(1).to_pylist()):
                     text = text or ""
-                    ids = np.frombuffer(enc.encode(text), "<u4")
+                    ids = every[cuts[i] : cuts[i + 1]]
                     starts = np.array(sections(text), np.int64)
                     if len(ids):
                         n, cross = allocate(token_ends(text, ids, lengths), starts, len(text), rule)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, small_batches
+from .shared import BATCH_ROWS, scratch_path, small_batches
 
 #: The vocabulary file and the id that ends a document.
 VOCABULARY, END = "byte_bpe_50k.json", 0
@@ -36,14 +36,13 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Da
         from .tokenizer import encoder
 
         encode, part, before = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
-        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                piece = batch.slice(first, 1000)
-                ids = [encode(t) + last for t in piece.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.r_[0, n.cumsum()]
-                values = np.frombuffer(b"".join(ids), "<i4")
+            for first in range(0, batch.num_rows, BATCH_ROWS):
+                piece = batch.slice(first, BATCH_ROWS)
+                ids, at = encode(piece.column(1))
+                values = np.insert(ids, at[1:], end)
+                ends = at + np.arange(len(at))
+                n = np.diff(ends)
                 rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 parts = pa.array(np.full(len(n), part, np.int32))
                 columns = [piece.column(0), parts, pa.array(before + ends[:-1]), pa.array(n), rows]

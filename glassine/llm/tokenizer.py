@@ -2,11 +2,11 @@
 
 The library encodes under 1 MB/s a core, most of it spent on words it has seen before.  A byte-level BPE
 splits a text into pieces by a pattern and merges inside each piece only, so a text's ids are its
-pieces' ids in a row.  ``Encoder`` therefore asks the library's model and keeps the answers for words, pieces and
-whole texts from the second time on (most words of a corpus occur once), in two generations of bounded size: what is
-in use moves to the new one, the rest is forgotten.  Texts are cut at single spaces first; a space with white space on both sides can lie
-inside a piece, so texts that have one are cut by the pattern alone.  Texts that hold a special token's
-string go to the library whole.
+pieces' ids in a row.  ``Encoder`` therefore asks the library's model for each distinct word of a batch of texts and
+lays the answers out by array operations.  Answers for words and pieces are kept from the second time on (most words of
+a corpus occur once), in two generations of bounded size: what is in use moves to the new one, the rest is forgotten.
+Texts are cut at single spaces first; a space with white space on both sides can lie inside a piece, so texts that have
+one are cut by the pattern alone.  Texts that hold a special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries of a generation of words, of pieces (mostly asked for through words) and of whole texts.
-WORDS, PIECES, TEXTS = 200_000, 100_000, 500
-#: Texts of more characters are not kept.
-TEXT_CHARS = 20_000
+#: Entries of a generation of words and of pieces (mostly asked for through words).
+WORDS, PIECES = 200_000, 60_000
+#: Bytes of text laid out at once.
+CHUNK_BYTES = 4 << 20
 #: Flags of what was seen, by hash; all are dropped once a third is set.
 FLAGS = 1 << 22
 _RISKY = re.compile(r"\s \s")
@@ -39,19 +41,25 @@ class Kept:
         self.size, self.new, self.old = size, {}, {}
         self.flags, self.set = bytearray(FLAGS), 0
 
-    def put(self, key: str, value: bytes, known: bool = False) -> None:
-        """Keep value, if key is known from before or was seen before."""
-        if not known:
-            at = hash(key) & (FLAGS - 1)
-            if not self.flags[at]:
-                self.flags[at] = 1
-                self.set += 1
-                if self.set > FLAGS // 3:
-                    self.flags, self.set = bytearray(FLAGS), 0
-                return
+    def get(self, key: str) -> bytes | None:
+        ids = self.new.get(key)
+        return self.old.get(key) if ids is None else ids
+
+    def again(self, key: str) -> bool:
+        """Whether key was seen before; it is now."""
+        at = hash(key) & (FLAGS - 1)
+        if self.flags[at]:
+            return True
+        self.flags[at] = 1
+        self.set += 1
+        return False
+
+    def turn(self) -> None:
+        """Begin a new generation where the new one is full, and forget what was seen where that is too much."""
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        if self.set > FLAGS // 3:
+            self.flags, self.set = bytearray(FLAGS), 0
 
 
 class Encoder:
@@ -66,74 +74,100 @@ class Encoder:
         self.special = re.compile("|".join(added)).search if added else lambda text: None
         self.letters = _byte_alphabet()
         self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size() + 1)]
-        self.pieces, self.words, self.texts = Kept(PIECES), Kept(WORDS), Kept(TEXTS)
+        self.pieces, self.words = Kept(PIECES), Kept(WORDS)
 
     def _merge(self, piece: str) -> bytes:
         """The ids of a piece, from the library's model."""
-        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
-            letters = self.letters[32] + piece[1:]
-        else:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
+        letters = piece.encode().decode("latin-1").translate(self.letters)
         four = self.four
         return b"".join([four[t.id] for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
         kept = self.pieces
-        ids = kept.new.get(piece)
+        ids = kept.get(piece)
         if ids is None:
-            ids = kept.old.get(piece)
-            known = ids is not None
-            if not known:
-                ids = self._merge(piece)
-            if len(piece) <= 64:
-                kept.put(piece, ids, known)
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a word and the space before it."""
-        ids = self.words.old.get(word)
-        known = ids is not None
-        if not known:
-            if word.isalpha():
-                ids = self._piece(" " + word)
-            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-                ids = self._piece(" " + word[:-1]) + self._piece(word[-1])
-            else:
-                ids = self._plain(" " + word)
-        if len(word) <= 64:
-            self.words.put(word, ids, known)
+            ids = self._merge(piece)
+            if len(piece) <= 64 and kept.again(piece):
+                kept.new[piece] = ids
+                kept.turn()
         return ids
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.split(text)))
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian 32-bit integers, the same as the library's; none for null."""
-        if not text:
-            return b""
-        if len(text) > TEXT_CHARS:
-            return self._text(text)
-        kept = self.texts
-        ids = kept.new.get(text)
-        if ids is None:
-            ids = kept.old.get(text)
-            known = ids is not None
-            if not known:
-                ids = self._text(text)
-            kept.put(text, ids, known)
-        return ids
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words and the space before it."""
+        kept, merge = self.words, self._merge
+        new, old, again = kept.new, kept.old, kept.again
+        out = list(map(new.get, words))
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
+            word = words[i]
+            ids = old.get(word)
+            if ids is None:
+                if word.isalpha():
+                    ids = merge(" " + word)
+                elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                    ids = (kept.get(word[:-1]) or merge(" " + word[:-1])) + self._piece(word[-1])
+                else:
+                    ids = self._plain(" " + word)
+                if len(word) <= 64 and again(word):
+                    new[word] = ids
+            else:
+                new[word] = ids
+            out[i] = ids
+        kept.turn()
+        return out
 
-    def _text(self, text: str) -> bytes:
+    def _odd(self, text: str) -> bytes | None:
+        """The ids of a text that can't be cut at its spaces; None for all others."""
         if self.special(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _RISKY.search(text):
-            return self._plain(text)
-        first, *words = text.split(" ")
-        out = list(map(self.words.new.get, words))
-        if None in out:
-            word = self._word
-            out = [word(w) if ids is None else ids for w, ids in zip(words, out)]
-        return self._plain(first) + b"".join(out)
+        return self._plain(text) if _RISKY.search(text) else None
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts as one array of 32-bit integers, the same as the library's, and where each text's begin
+        and end; none for null."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        chunk = sizes.cumsum() // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(texts)]
+        done = [self._chunk(texts.slice(i, j - i)) for i, j in zip(cuts, cuts[1:]) if j > i]
+        if not done:
+            return np.zeros(0, "<i4"), np.zeros(1, np.int64)
+        return np.concatenate([ids for ids, _ in done]), np.r_[0, np.concatenate([n for _, n in done]).cumsum()]
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each text has)."""
+        # A text is a first word and words with a space before them.  Odd texts, and null, are one first word each.
+        plain, first = [], []
+        for text in texts.to_pylist():
+            odd = self._odd(text) if text else b""
+            if odd is None:
+                head, gap, rest = text.partition(" ")
+                plain.append(rest if gap else None)
+                first.append(self._plain(head))
+            else:
+                plain.append(None)
+                first.append(odd)
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        out = self._words(words) + first
+        # Where in the pool of answers each word's ids begin, in the order of the texts.
+        sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        pool, begins = np.frombuffer(b"".join(out), "<i4"), np.r_[0, sizes.cumsum()[:-1]]
+        heads = np.r_[0, (per + 1).cumsum()]
+        which = np.empty(heads[-1], np.int64)
+        at_head = np.zeros(heads[-1], bool)
+        at_head[heads[:-1]] = True
+        which[at_head] = len(words) + np.arange(len(first))
+        which[~at_head] = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[which]
+        ends = n.cumsum()
+        ids = pool[np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.add.reduceat(n, heads[:-1]) if len(first) else n
 
     def byte_lengths(self) -> np.ndarray:
         """For each id, how many bytes of text it stands for."""

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -442,6 +443,24 @@ def test_encoder_equals_the_library(library):
     @settings(max_examples=400, deadline=None)
     @given(st.lists(alphabet, max_size=14).map("".join))
     def check(text):
-        assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        # Twice: what is kept must be the same.
+        ids, at = mine.encode(pa.array([text, None, "", text], pa.string()))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want + want and np.diff(at).tolist() == [len(want), 0, 0, len(want)]
 
     check()
+
+
+def test_encoder_in_many_chunks(library, monkeypatch, docs):
+    from glassine.llm import tokenizer
+
+    monkeypatch.setattr(tokenizer, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(tokenizer, "WORDS", 300)
+    import public_tokenizers
+
+    mine = tokenizer.Encoder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    texts = [r["text"] for r in docs.limit(150).collect()]
+    ids, at = mine.encode(pa.array(texts, pa.string()))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == want
+    assert mine.encode(pa.array([], pa.string()))[0].tolist() == []
