@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of at most this many rows (of a few dozen bytes each) may be broadcast.
-BROADCAST_ROWS = 500_000
+#: A side of at most this many rows and bytes may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 
@@ -46,12 +47,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def guarded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows; beyond that the join shuffles.
+def guarded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes; beyond that the join shuffles.
 
-    df should be a durable table, as it is counted.
+    df should be a durable table, as it is counted and the bytes of its strings and arrays are summed.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    text = [F.sum(F.octet_length(F.col(f"`{f.name}`").cast("string")).cast("long")) for f in wide]
+    n, *bytes_ = df.agg(F.count("*"), *text).first()
+    total = 8 * n * len(df.columns) + sum(x or 0 for x in bytes_)
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def small_batches(df: DataFrame) -> DataFrame:
