@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import durable, guarded_broadcast, small_batches
 
 #: n-gram length, slots of the table and probes per n-gram.
 N, SLOT_BITS, PROBES = 4, 20, 3
@@ -52,7 +52,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = _fold()[codes]
     if len(codes) == 0:
         return np.zeros(0, np.uint64), of
-    keep = np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]
+    # Of several spaces within a text one is kept, whatever the text before ends with.
+    keep = np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32) | (of[1:] != of[:-1])]
     codes, of = codes[keep].astype(np.uint64), of[keep]
     if len(codes) < N:
         return np.zeros(0, np.uint64), of[:0]
@@ -96,14 +97,16 @@ class Model:
 
 
 def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
-    """A model of docs (text, lang), from about per_lang documents of each language.
+    """A model of docs (text, lang[, doc_id]), from about per_lang documents of each language.
 
-    Rows without text or lang are left out.  Which rows are taken follows the hash of all their columns, so that copies
-    of a text are taken or left one by one.  The sample, and so all that reaches the driver, is bounded: for every
-    64 languages one mask for each of 2**SLOT_BITS slots at most.
+    Rows without text or lang are left out.  Which rows are taken follows a hash of text, lang and doc_id, so that copies
+    of a text are taken or left one by one; other columns are not looked at.  The sample, and so all that reaches the
+    driver, is bounded: for every 64 languages one mask for each of 2**SLOT_BITS slots at most.  An n-gram's frequency
+    in a language is its share of the n-grams taken from that language, however few they are.  An empty table gives a
+    model without languages.
     """
     spark = docs.sparkSession
-    lot = F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_000)) / 1_000_000
+    lot = F.pmod(F.xxhash64(*(["doc_id"] if "doc_id" in docs.columns else []), "text", "lang"), F.lit(1_000_000)) / 1_000_000
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string"), lot.alias("lot"))
     found = docs.groupBy("lang").count().collect()
     found.sort(key=lambda r: r["lang"])
@@ -127,10 +130,12 @@ def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
                     yield pa.RecordBatch.from_arrays(columns, ["i", "gram", "n"])
 
     counts = small_batches(sample).mapInArrow(count, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
+    counts = durable(counts, "grams")
+    taken = durable(counts.groupBy("i").agg(F.sum("n").alias("taken")), "taken")
     per_gram = Window.partitionBy("gram")
     member = (
-        counts.join(F.broadcast(rates.select("i", "rate")), "i")
-        .withColumn("scaled", F.col("n") / F.lit(per_lang))
+        counts.join(guarded_broadcast(taken), "i")
+        .withColumn("scaled", F.col("n") / F.col("taken"))
         .withColumn("most", F.max("scaled").over(per_gram))
         .where((F.col("n") >= LEAST_COUNT) & (F.col("scaled") >= SHARE * F.col("most")))
     )
