@@ -88,24 +88,21 @@ def _candidates(index: Index, words: DataFrame, window: int, rarest: int, slop:
     anchors = durable(ranked.select("item", "w", "p", "term_id", "rank", "n"), "anchors")
     wanted = durable(anchors.select("term_id").distinct(), "wanted")
     lists = durable(index.postings.join(guarded_broadcast(wanted), "term_id"), "lists")
-    found = None
-    for rank in range(1, rarest + 1):
-        side = guarded_broadcast(anchors.where(F.col("rank") == rank))
-        at = lists.join(side, "term_id")
-        if found is None:
-            found = at.select("row", "item", "w", (F.col("pos") - F.col("p")).alias("origin"))
-        else:
-            origin = F.col("pos") - F.col("p")
-            if slop:
-                origin = F.explode(F.sequence(origin - slop, origin + slop))
-            here = at.select("row", "item", "w", origin.alias("origin")).distinct()
-            # Windows of fewer words than this rank have nothing more to intersect.
-            short = F.least(F.col("n"), F.lit(window)) < rank
-            few = anchors.where(short).select("item", "w").distinct()
-            pending = found
-            found = found.join(here, ["row", "item", "w", "origin"], "left_semi")
-            if not few.isEmpty():
-                found = found.union(pending.join(few, ["item", "w"], "left_semi").select("row", "item", "w", "origin"))
+    first = guarded_broadcast(durable(anchors.where("rank = 1"), "rarest"))
+    found = lists.join(first, "term_id").select("row", "item", "w", (F.col("pos") - F.col("p")).alias("origin"))
+    for rank in range(2, rarest + 1):
+        # What the rarer terms have left says where the next one must be: work follows the rarest list.
+        side = guarded_broadcast(durable(anchors.where(F.col("rank") == rank).select("item", "w", "p", "term_id"), "next"))
+        found = durable(found, "candidates")
+        at = F.col("origin") + F.col("p")
+        places = F.explode(F.sequence(at - slop, at + slop)) if slop else at
+        probes = found.join(side, ["item", "w"]).select("row", "item", "w", "origin", "term_id", places.alias("pos"))
+        hit = probes.join(lists, ["row", "pos", "term_id"], "left_semi").select("row", "item", "w", "origin")
+        # Windows of fewer words than this rank have nothing more to intersect.
+        few = anchors.where(F.least(F.col("n"), F.lit(window)) < rank).select("item", "w").distinct()
+        if not few.isEmpty():
+            hit = hit.unionByName(found.join(few, ["item", "w"], "left_semi"))
+        found = hit
     return durable(found.distinct(), "candidates")
 
 
@@ -151,7 +148,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies in an occurrence of a window; an item of fewer words than a window is one window.
-    Items with a null text hold no window; those with a null item_id hit words but aren't counted or named.
+    Items with a null text hold no window; those with a null item_id hit words but aren't counted or named.  Texts are
+    read whole, however long.  An empty table of documents gives an empty result, one of items no hits; extra columns of
+    either are not read.
     """
     words = durable(item_words(items), "words")
     index = build_index(docs, words.select("term"))
