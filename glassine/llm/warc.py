@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable, scratch_path
+from .shared import durable, guarded_broadcast, scratch_path
 
 #: Payloads of at least so many bytes are stored once.
 LEAST_BYTES = 0
-#: Captures in one archive file at most.
-PER_FILE = 4000
+#: Captures in one archive file at most, and bytes beyond which payloads go to files of their size.
+PER_FILE, LARGE = 1000, 32 << 10
 #: Fixed by the format: base32's alphabet, the record separator.
 BASE32, BETWEEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "\r\n\r\n"
 #: Sorts a null page_id first.
@@ -46,7 +46,7 @@ def _record_id(kind: str) -> Column:
     """A capture's record id: the same whenever the same capture is written."""
     none = F.lit("\x00")
     page = F.coalesce(F.col("page_id").cast("string"), none)
-    h = F.md5(F.concat_ws("\x1f", F.lit(kind), page, F.coalesce("url", none), "digest"))
+    h = F.md5(F.concat_ws("\x1f", F.lit(kind), page, F.coalesce("url", none), "digest", F.col("nth").cast("string")))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -55,25 +55,34 @@ def captures(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages (page_id, url, html) with payload, digest, size and, for revisits, refers_page and refers_id.
 
     Of equal payloads of at least least_bytes, the one with the largest page_id (then url) is the response.
-    A null html is an empty payload.
+    A null html is an empty payload.  Rows repeated in all three columns are captures of their own, told apart by nth.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload")))
+    own = own.withColumn("nth", F.lit(1))
     own = own.withColumn("id", _record_id("response"))
     key = F.struct(F.coalesce("page_id", F.lit(NO_PAGE)).alias("p"), F.coalesce("url", F.lit("")).alias("u"), "id")
-    groups = own.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(
-        F.max(key).alias("top"), F.min("id").alias("low"), F.max("id").alias("high")
-    )
+    groups = own.groupBy("digest").agg(F.max(key).alias("top"), F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("size"))
     # Payloads of a single capture need no join.
     several = durable(
-        groups.where("low <> high").select(
-            "digest", F.col("top.id").alias("refers_id"), F.nullif("top.p", F.lit(NO_PAGE)).alias("refers_page")
+        groups.where("n > 1").select(
+            "digest", "size", F.col("top.id").alias("refers_id"), F.nullif("top.p", F.lit(NO_PAGE)).alias("refers_page")
         ),
         "payloads",
     )
+    alike = own.join(guarded_broadcast(several.select("digest")), "digest", "left_semi")
+    repeated = durable(alike.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    if not repeated.isEmpty():
+        # One row of each stands for all and is copied; the first keeps its id.
+        several_ids = guarded_broadcast(repeated.select("id"))
+        rows = own.join(several_ids, "id", "left_semi").groupBy("page_id", "url", "payload", "digest").agg(F.count("*").alias("n"))
+        rows = rows.select("page_id", "url", "payload", "digest", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
+        rows = rows.repartition("digest", "nth").withColumn("id", _record_id("response"))
+        own = own.join(several_ids, "id", "left_anti").unionByName(rows)
+    several = several.where(F.col("size") >= least_bytes).drop("size")
     joined = own.join(several, "digest", "left")
     other = (F.col("refers_id") != F.col("id")) & (F.octet_length("payload") >= least_bytes)
     return joined.withColumns(
@@ -144,8 +153,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
         ],
         note,
     )
-    whole = found.select(F.concat_ws(BETWEEN, request, main, metadata).alias("value"))
-    whole.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", PER_FILE).text(path)
+    # A file is read as a whole.  Payloads of up to 2^k times LARGE are dealt to 2^k files, so that these stay small.
+    power = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("size"), F.lit(1)) / LARGE))).cast("int")
+    shelf = F.concat_ws("-", power, F.pmod(F.xxhash64("id"), F.pow(F.lit(2), power).cast("long")))
+    whole = found.select(F.concat_ws(BETWEEN, request, main, metadata).alias("value"), shelf.alias("shelf"))
+    large = pages.select(F.max(F.octet_length(F.col("html").cast("string"))).alias("n")).first()["n"] or 0
+    out = whole.drop("shelf").write if large <= LARGE else whole.write.partitionBy("shelf")
+    out.option("lineSep", BETWEEN).option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -215,7 +229,7 @@ def read_records(spark, path: str, payloads: bool = False) -> DataFrame:
                         found = []
                 yield batch(found)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, schema)
 
 
@@ -251,7 +265,8 @@ def transactions(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages written as archives in the shared folder, read back and assembled.
 
     A null html is an empty payload, a null url an empty target, a null page_id leaves its field out.  Rows repeated
-    in all three columns are one capture; other columns are not read.
+    in all three columns are captures of their own; other columns are not read; an empty table has none.  A payload is
+    written and read whole, so one of 2 GB or more can't be.
     """
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, least_bytes)
