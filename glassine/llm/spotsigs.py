@@ -28,6 +28,8 @@ from .shared import durable, guarded_broadcast, small_batches
 
 #: Content words of a signature.
 CHAIN = 2
+#: Likeness below this counts as none; signatures compared at once.
+LEAST, STEP = 0.05, 1024
 #: Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
     (
@@ -74,15 +76,30 @@ def as_text(column: str) -> Column:
     return F.concat(n, F.lit(":"), F.base64(column)).alias(column)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Multiset Jaccard of two sorted signature arrays; 1 for two empty ones."""
+def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Multiset Jaccard of two sorted signature arrays where it is at least least, else 0; 1 for two empty ones.
+
+    Sets whose lengths rule out least are never compared, and comparison stops where what is left of both can't reach
+    it any more.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(n[i], m[j]).sum())
-    return both / (len(a) + len(b) - both)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return 0.0
+    both = i = j = 0
+    whole = len(a) + len(b)
+    need = least * whole / (1 + least)
+    while i < len(a) and j < len(b) and both + min(len(a) - i, len(b) - j) >= need:
+        # The next STEP of a, the same range of hashes of b, and repeats of the last one.
+        k = int(np.searchsorted(a, a[min(i + STEP, len(a)) - 1], "right"))
+        m = int(np.searchsorted(b, a[k - 1], "right"))
+        x, n = np.unique(a[i:k], return_counts=True)
+        y, o = np.unique(b[j:m], return_counts=True)
+        _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        both += int(np.minimum(n[at], o[to]).sum())
+        i, j = k, m
+    value = both / (whole - both)
+    return value if value >= least else 0.0
 
 
 def edited(text: str, following: str) -> str:
@@ -103,6 +120,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     The next document is that of the next doc_id, after the last the first; null ids come first, and equal ids follow
     the order of their texts' hashes.  A null text is empty.  Documents are sorted once over the cluster, compressed on
     the way; only the first document of each partition is fetched anew for the last one of the partition before.
+
+    Likeness is exact from LEAST on and 0 below.  Texts are compared whole, however long; repeated rows are documents of
+    their own; an empty table gives an empty result; a single document's next one is itself; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -123,7 +143,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         changed = edited(text, following)
         new = signatures(changed)
         sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return (doc_id, len(text), sha, packed(own), packed(new), likeness(own, new), likeness(own, its))
+        return (doc_id, len(text), sha, packed(own), packed(new), likeness(own, new, LEAST), likeness(own, its, LEAST))
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     # What a partition can't finish alone: its last document, and its first for the partition before.

@@ -55,7 +55,13 @@ def test_revisits(spark):
     tricky = "b\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "u", "a"), (9, "u2", "a"), (2, "v", None), (4, None, ""), (None, "x", "a"), (5, "y\r\nz", tricky), (5, "y\r\nz", tricky), (6, "w", "é" * 100_000)]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
-    got = page_rows(warc.transactions(pages))
+    found = warc.transactions(pages)
+    ids = [x[k]["id"] for x in found.collect() for k in ("response", "request", "metadata")]
+    assert len(ids) == len(set(ids)) == 3 * len(rows)
+    assert Counter((r["response"]["type"], r["response"]["size"]) for r in found.collect() if r["metadata"]["fields"].get("pageId") == "5") == {
+        ("response", len(tricky)): 1, ("revisit", len(tricky)): 1
+    }
+    got = page_rows(found.where("response.type = 'response' OR coalesce(metadata.fields['pageId'], '') <> '5'"))
     assert got[1] == ("revisit", 1, sha("a"), 9) and got[9] == ("response", 1, sha("a"), None)
     assert got[None] == ("revisit", 1, sha("a"), 9)
     assert got[2] == ("revisit", 0, sha(""), 4) and got[4][0] == "response"
@@ -64,6 +70,28 @@ def test_revisits(spark):
     assert warc.transactions(pages.limit(0)).count() == 0
 
 
+def test_whole_table_of_archives(spark, sf):
+    """Every page's record by brute force, with repeated rows and payloads too large to share a file."""
+    some = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in some.collect()]
+    rows += rows[:3] + [(900 + i, "big", str(i % 2) * (200_000 + 100_000 * (i // 2))) for i in range(6)] + [rows[0]]
+    pages = spark.createDataFrame(rows, some.schema)
+    top = {}
+    for i, _, html in rows:
+        top[html or ""] = max(i, top.get(html or "", i))
+    seen, want = set(), []
+    for i, _, html in sorted(rows, key=lambda r: -r[0]):
+        html = html or ""
+        kind = "revisit" if html in seen else "response"
+        seen.add(html)
+        want.append((i, len(html.encode()), sha(html), kind, top[html] if kind == "revisit" else None))
+    path = warc.scratch_path(spark, "warc")
+    warc.write_archives(pages, path)
+    found = warc.assemble(warc.read_records(spark, path))
+    fields = [F.col("metadata.fields")["pageId"].cast("long"), "response.size", "response.digest", "response.type", F.col("metadata.fields")["refersToPageId"].cast("long")]
+    assert sorted(map(tuple, found.select(*fields).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_transactions_link_both_ways(spark):
     rec = lambda kind, id, to=None: (kind, id, to, None, "u", "d", 1, {})
     rows = [rec("response", "r1", "q1"), rec("request", "q1"), rec("metadata", "m1", "q1"), rec("response", "r2"), rec("request", "q2", "r2"), rec("request", "q2", "r2"), rec("request", "lost", "zz")]
@@ -104,6 +132,35 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert got == {(lang, lang) for lang in words}
 
 
+def test_a_rare_language_keeps_what_it_shares(spark):
+    rng = np.random.default_rng(1)
+    shared = ["alba", "costa", "fiume", "monte"]
+    own = {"big": ["zwkrp", "qvxtz"], "rare": ["hjyfl", "bnmgd"]}
+    text = lambda lang: " ".join(rng.choice(shared + own[lang], 60).tolist())
+    rows = [(i, text("big"), "big") for i in range(600)] + [(1000 + i, text("rare"), "rare") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    bit = model.langs.index("rare")
+    h, _ = langid._grams(["alba costa fiume monte"])
+    mask = model.table[h & np.uint64((1 << langid.SLOT_BITS) - 1)][:, 0]
+    assert ((mask >> np.uint64(bit)) & np.uint64(1)).mean() > 0.7
+    got = Counter((r["doc"]["lang"], r["lang_pred"]) for r in langid.predict(df, model).collect())
+    assert got[("rare", "rare")] == 12 and got[("big", "big")] == 600
+
+
+def test_prediction_depends_on_the_text_alone(spark):
+    texts = ["  the cat ", "x. ", " the cat", "", None, "le chat  et", " le chat et la souris"]
+    df = spark.createDataFrame(
+        [(i, t, "en" if i < 4 else "fr", {"k": i}) for i, t in enumerate(texts * 3)], "doc_id long, text string, lang string, `a.b` map<string,int>"
+    )
+    model = langid.train(df)
+    one = {r["doc"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df.coalesce(1), model).collect()}
+    for n in (2, 7):
+        again = {r["doc"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df.orderBy(F.desc("doc_id")).repartition(n), model).collect()}
+        assert again == one
+    assert [len(langid._grams(["x. " * k, " the cat"])[0][langid._grams(["x. " * k, " the cat"])[1] == 1]) for k in (0, 1)] == [5, 5]
+
+
 def test_filters_have_no_false_negatives(docs):
     model = langid.train(docs.where("lang = 'en'"))
     probe = np.uint64((1 << langid.SLOT_BITS) - 1)
@@ -317,11 +374,23 @@ def test_edited_texts(spark, sf, texts):
         own, new, its = (Counter(spotsigs.signatures(x).tolist()) for x in (t, changed, n))
         for other, value in ((new, r["near_edited"]), (its, r["near_next"])):
             whole = sum((own | other).values())
-            assert value == pytest.approx(sum((own & other).values()) / whole if whole else 1.0)
+            want = sum((own & other).values()) / whole if whole else 1.0
+            assert value == pytest.approx(want if want >= spotsigs.LEAST else 0.0)
     prints = {texts[i]: got[i]["fingerprint"] for i in ids}
     assert all(prints[texts[i]] == got[i]["fingerprint"] for i in ids)
 
 
+def test_pruned_likeness(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(spotsigs, "STEP", 7)
+    for _ in range(300):
+        a, b = (np.sort(rng.integers(0, rng.integers(2, 60), rng.integers(0, 80)).astype(np.uint32)) for _ in range(2))
+        x, y = Counter(a.tolist()), Counter(b.tolist())
+        want = sum((x & y).values()) / max(1, sum((x | y).values())) if x or y else 1.0
+        for least in (0.0, 0.3, 0.8):
+            assert spotsigs.likeness(a, b, least) == pytest.approx(want if want >= least else 0.0)
+
+
 def test_spotsig_edges(odd):
     got = spotsigs.compare_with_next(odd).collect()
     assert len(got) == odd.count()
