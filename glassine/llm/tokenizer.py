@@ -5,8 +5,9 @@ splits a text into pieces by a pattern and merges inside each piece only, so a t
 pieces' ids in a row.  ``Encoder`` therefore asks the library's model for each distinct word of a batch of texts and
 lays the answers out by array operations.  Answers for words and pieces are kept from the second time on (most words of
 a corpus occur once), in two generations of bounded size: what is in use moves to the new one, the rest is forgotten.
-Texts are cut at single spaces first; a space with white space on both sides can lie inside a piece, so texts that have
-one are cut by the pattern alone.  Texts that hold a special token's string go to the library whole.
+Texts are cut at single spaces and before line breaks first.  A space with white space on both sides, and a line break
+beside a space or in a run, can lie inside a piece; texts that have one are cut by the pattern alone.  Texts that hold a
+special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a generation of words and of pieces (mostly asked for through words).
-WORDS, PIECES = 200_000, 60_000
+WORDS, PIECES = 250_000, 60_000
 #: Bytes of text laid out at once.
 CHUNK_BYTES = 4 << 20
 #: Flags of what was seen, by hash; all are dropped once a third is set.
 FLAGS = 1 << 22
-_RISKY = re.compile(r"\s \s")
+_RISKY = re.compile(r"\s \s|\n\n\n|\n\n\Z|[^\S\n]\n|\n[^\S\n]")
+#: Fixed by Unicode: white space, as a class of RE2.
+_SPACE = r"[\t-\r\x1C- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: A run of these after letters is a piece; the apostrophe isn't among them, as it begins pieces with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -72,6 +77,8 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)).search if added else lambda text: None
+        #: Every text that _odd may have to encode has this.
+        self.suspect = "|".join([_SPACE + _SPACE, *added])
         self.letters = _byte_alphabet()
         self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size() + 1)]
         self.pieces, self.words = Kept(PIECES), Kept(WORDS)
@@ -82,6 +89,12 @@ class Encoder:
         four = self.four
         return b"".join([four[t.id] for t in self.model.tokenize(letters)])
 
+    def _after_space(self, word: str) -> bytes:
+        """The ids of letters and the space before them."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(self.letters[32] + letters)])
+
     def _piece(self, piece: str) -> bytes:
         kept = self.pieces
         ids = kept.get(piece)
@@ -96,8 +109,9 @@ class Encoder:
         return b"".join(map(self._piece, self.split(text)))
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some distinct words and the space before it."""
-        kept, merge = self.words, self._merge
+        """The ids of each of some distinct words with the space before it; one that begins with a line break has none."""
+        kept, merge, after, line = self.words, self._merge, self._after_space, self._piece("\n")
+        fresh: dict[str, bytes] = {}
         new, old, again = kept.new, kept.old, kept.again
         out = list(map(new.get, words))
         for i, ids in enumerate(out):
@@ -106,12 +120,19 @@ class Encoder:
             word = words[i]
             ids = old.get(word)
             if ids is None:
-                if word.isalpha():
-                    ids = merge(" " + word)
-                elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-                    ids = (kept.get(word[:-1]) or merge(" " + word[:-1])) + self._piece(word[-1])
+                head = word[:1] == "\n"
+                if (core := word.rstrip(MARKS)).isalpha():
+                    ids = fresh.get(core)
+                    if ids is None:
+                        ids = fresh[core] = (len(core) < len(word) and kept.get(core)) or after(core)
+                    if len(core) < len(word):
+                        ids += self._piece(word[len(core) :])
+                elif head and core[1:].isalpha():
+                    ids = line + merge(core[1:])
+                    if len(core) < len(word):
+                        ids += self._piece(word[len(core) :])
                 else:
-                    ids = self._plain(" " + word)
+                    ids = self._plain(word) if head else self._plain(" " + word)
                 if len(word) <= 64 and again(word):
                     new[word] = ids
             else:
@@ -141,10 +162,11 @@ class Encoder:
         """(ids, how many each text has)."""
         # A text is a first word and words with a space before them.  Odd texts, and null, are one first word each.
         plain, first = [], []
-        for text in texts.to_pylist():
-            odd = self._odd(text) if text else b""
+        suspect = pc.match_substring_regex(texts, self.suspect).to_pylist()
+        for text, look in zip(texts.to_pylist(), suspect):
+            odd = b"" if not text else self._odd(text) if look else None
             if odd is None:
-                head, gap, rest = text.partition(" ")
+                head, gap, rest = text.replace("\n", " \n").partition(" ")
                 plain.append(rest if gap else None)
                 first.append(self._plain(head))
             else:

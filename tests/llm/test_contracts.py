@@ -507,9 +507,9 @@ def test_encoder_equals_the_library(library):
     from glassine.llm.tokenizer import encoder
 
     mine = encoder(VOCABULARY)
-    alphabet = st.sampled_from([*" \n\tab'sdtrelAZé1٣ß漢.,!?-_", "🙂", " ", "　", "\x1c", "\x85", "'re", "<|endoftext|>", "  ", " \n \n", " word", " word,"])
+    alphabet = st.sampled_from([*" \n\tab'sdtrelAZé1٣ß漢.,!?-_", "🙂", " ", "　", "\x1c", "\x85", "'re", "<|endoftext|>", "  ", " \n \n", " word", " word,", "word", "\n", "\n\n", "###", "_", ".\nWord"])
 
-    @settings(max_examples=400, deadline=None)
+    @settings(max_examples=1500, deadline=None)
     @given(st.lists(alphabet, max_size=14).map("".join))
     def check(text):
         # Twice: what is kept must be the same.
