@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 #: A side of at most this many rows and bytes may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch, and thin rows (a few numbers) that one task can write.
+BATCH_ROWS, TASK_ROWS = 1000, 250_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -47,6 +47,11 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thin(df: DataFrame, rows: int) -> DataFrame:
+    """df of at most so many thin rows, in as many partitions as these need: small tables are written as few files."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def guarded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows and bytes; beyond that the join shuffles.
 
@@ -89,15 +94,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
+        # No step has more rows than both directions of all edges.
+        n = 2 * seen[0]
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        lowest = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
-        large = durable(
-            both.where("v > u").join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(),
-            "edges",
-        )
-        lowest = durable(large.groupBy("a").agg(F.min("b").alias("m")), "star")
+        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = durable(thin(lowest, n), "star")
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = durable(thin(large, n), "edges")
+        lowest = durable(thin(large.groupBy("a").agg(F.min("b").alias("m")), n), "star")
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = durable(small.union(lowest).distinct(), "edges")
+        edges = durable(thin(small.union(lowest).distinct(), n), "edges")
         now = mark(edges)
         if now == seen:
             break

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, durable, guarded_broadcast, small_batches
+from .shared import connected_components, durable, guarded_broadcast, small_batches, thin
 
 ONES = (1 << 64) - 1
 #: Keys with more fingerprints than this are cut again.
@@ -335,41 +335,42 @@ def _joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     connected is done.  What a few rounds leave open is compared member by member in tiles.
     """
     members = members.withColumn("root", F.col("node"))
+    rows = members.count()
     edges = roots = None
     for turn in range(ROUNDS + 1):
         ends = F.min("root").alias("first"), F.max("root").alias("last")
         groups = members.groupBy("key").agg(F.count("*").alias("n"), *ends, F.bit_xor(F.xxhash64("node")).alias("all"))
         # Of groups with the same members one is enough.
         groups = groups.where("first <> last").groupBy("n", "first", "last", "all").agg(F.min("key").alias("key"))
-        groups = durable(groups.select("key", "n"), "groups")
+        groups = durable(thin(groups.select("key", "n"), rows), "groups")
         if groups.isEmpty():
             break
-        live = durable(members.join(guarded_broadcast(groups), "key"), "live")
+        live = durable(thin(members.join(guarded_broadcast(groups), "key"), rows), "live")
         if turn == ROUNDS:
             found = durable(_tiled_links(live.select("key", "node", "n"), sets, similarity), "links")
-            edges = found if edges is None else durable(edges.union(found), "edges")
+            edges = found if edges is None else edges.union(found)
             break
-        score = durable(live.groupBy("node").agg(F.sum("n").alias("score")), "score")
+        score = durable(thin(live.groupBy("node").agg(F.sum("n").alias("score")), rows), "score")
         scored = live.join(guarded_broadcast(score), "node")
         best = F.max(F.struct("score", "node", "root", "size")).alias("best")
         best = scored.groupBy("key").agg(best).select(
             "key", F.col("best.node").alias("b"), F.col("best.root").alias("other"), F.col("best.size").alias("size_b")
         )
-        best = durable(best, "best")
+        best = durable(thin(best, rows), "best")
         beside = live.join(guarded_broadcast(best), "key").where("node <> b")
         long_enough = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b")
         asked = beside.where((F.col("root") != F.col("other")) & long_enough)
-        asked = durable(asked.select(F.col("node").alias("a"), "b").distinct(), "asked")
+        asked = durable(thin(asked.select(F.col("node").alias("a"), "b").distinct(), rows), "asked")
         found = durable(_jaccard(asked, sets, similarity), "found")
         rest = beside.select("key", "node", "size", "root")
         if not found.isEmpty():
-            edges = found if edges is None else durable(edges.union(found), "edges")
+            edges = found if edges is None else edges.union(found)
             # A component so far is a star around its root.
             stars = found if roots is None else found.union(roots.select("node", "now"))
             roots = durable(connected_components(stars).withColumnRenamed("root", "now"), "roots")
             rest = rest.join(guarded_broadcast(roots), "node", "left")
             rest = rest.select("key", "node", "size", F.coalesce("now", "root").alias("root"))
-        members = durable(rest, "members")
+        members = durable(thin(rest, rows), "members")
     return edges
 
 
