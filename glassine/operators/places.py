@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.places import REACH, cell, cover, haversine, mercator, valid_fix
+from ..scratch import numbered
 
 
 def nearest(points: DataFrame, places: DataFrame, id_col: str, reach: float = REACH) -> DataFrame:
@@ -68,4 +69,4 @@ def pins(points: DataFrame, zoom: int, pixels: int = 64) -> DataFrame:
 
 def ranked_places(places: DataFrame) -> DataFrame:
     """places (…, population) with place_id, their rank by population."""
-    return places.withColumn("place_id", F.row_number().over(Window.orderBy(F.desc("population"), "name")) - 1)
+    return numbered(places, "place_id", F.desc("population"), "name").withColumn("place_id", F.col("place_id").cast("int"))

@@ -47,6 +47,27 @@ def by_folder(files: DataFrame) -> DataFrame:
     return files.groupBy("folder").agg(F.count("*").alias("files"))
 
 
+def totals(files: DataFrame, analysed: DataFrame, trash: str = "Trash") -> DataFrame:
+    """(photos, videos, analysed) of a library: what lies in the trash counts for nothing; analysed has hash.
+
+    files has path, hash and kind; copies are counted one by one.  An empty library has one row of zeros.
+    """
+    done = analysed.select("hash").where("hash IS NOT NULL").distinct().withColumn("done", F.lit(True))
+    rows = files.where(~in_folder(F.col("path"), trash)).join(done, "hash", "left")
+    return rows.agg(
+        F.count_if(F.col("kind") == "photo").alias("photos"),
+        F.count_if(F.col("kind") == "video").alias("videos"),
+        F.count_if("done").alias("analysed"),
+    )
+
+
+def time_sources(files: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """(taken_src, files, missing): how many files' times come from where, and how many of them are gone from disk."""
+    there = on_disk.select("path").distinct().withColumn("there", F.lit(True))
+    rows = files.join(there, "path", "left")
+    return rows.groupBy("taken_src").agg(F.count("*").alias("files"), F.count_if(F.col("there").isNull()).alias("missing"))
+
+
 def survey(files: DataFrame, cap: int = 200_000) -> DataFrame:
     """One row: media here, below (null if there are more than cap files), subfolders, and excluded names.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import numbered
 from .build import relocate, undo, violations
 from .catalog import repath
 
@@ -20,10 +21,9 @@ def entry_id(label: str, at: datetime.datetime) -> str:
 
 def record(ops: DataFrame, label: str, at: datetime.datetime) -> DataFrame:
     """ops as rows of the journal."""
-    seq = F.row_number().over(Window.orderBy("from")) - 1
-    return ops.select(
+    return numbered(ops, "seq", "from").select(
         F.lit(entry_id(label, at)).alias("id"), F.lit(label).alias("label"), F.lit(at).cast("timestamp").alias("applied_at"),
-        seq.alias("seq"), "kind", "hash", "from", "to",
+        F.col("seq").cast("int").alias("seq"), "kind", "hash", "from", "to",
     )
 
 

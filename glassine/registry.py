@@ -314,13 +314,14 @@ def nearest_place(spark, d):
 
 
 @query("""WITH f AS (SELECT p_partkey AS place_id, p_name AS name,
-  CASE WHEN lower(p_name) = 'part 1' THEN 0 WHEN starts_with(lower(p_name), 'part 1') THEN 1 WHEN contains(lower(p_name), 'part 1') THEN 2 END AS bucket FROM part),
+  CASE WHEN lower(p_name) = 'ring' OR lower(p_type) = 'ring' THEN 0 WHEN starts_with(lower(p_name), 'ring') OR starts_with(lower(p_type), 'ring') THEN 1
+       WHEN contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') THEN 2 END AS bucket FROM part),
 t AS (SELECT * FROM f WHERE bucket IS NOT NULL ORDER BY place_id LIMIT 81)
 SELECT place_id, name, bucket::INTEGER AS bucket FROM t ORDER BY bucket, place_id LIMIT 10""")
 def place_search(spark, d):
     """Places by name: exact, then prefix, then anywhere, each by population."""
-    found = table(spark, d, "part").select(F.col("p_partkey").alias("place_id"), F.col("p_name").alias("name"), F.lit("").alias("ascii"))
-    return place_ops.search(found, " Part 1 ", 10).select("place_id", "name", "bucket")
+    found = table(spark, d, "part").select(F.col("p_partkey").alias("place_id"), F.col("p_name").alias("name"), F.col("p_type").alias("ascii"))
+    return place_ops.search(found, " Ring ", 10).select("place_id", "name", "bucket")
 
 
 @query(f"WITH {_POINTS} SELECT count(*) AS checked, count(*) FILTER (lat < 38 AND lat > 36.5) AS found FROM c")
@@ -791,3 +792,88 @@ def scan_filters(spark, d):
     return m.where(~paths.is_skipped(raw) & ~paths.is_sidecar(raw) & (paths.kind_of(raw) == "photo")).select("path")
 
 
+_PLAN = f"""WITH {MEDIA}, o AS (
+  SELECT path AS f, path AS t FROM m WHERE doc_id % 11 = 0
+  UNION ALL SELECT path, 'dup/x.jpg' FROM m WHERE doc_id % 11 = 1
+  UNION ALL SELECT concat('gone/', doc_id, '.jpg'), concat(folder, '/new-', doc_id, '.jpg') FROM m WHERE doc_id % 11 = 2
+  UNION ALL SELECT path, concat(folder, '/a:', doc_id, '.jpg') FROM m WHERE doc_id % 11 = 3
+  UNION ALL SELECT a.path, b.path FROM m a JOIN m b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 11 = 4
+  UNION ALL SELECT path, concat(folder, '/one-', doc_id, '.jpg') FROM m WHERE doc_id % 11 = 6
+  UNION ALL SELECT path, concat(folder, '/two-', doc_id, '.jpg') FROM m WHERE doc_id % 11 = 6
+  UNION ALL SELECT path, concat('nowhere/', doc_id, '.jpg') FROM m WHERE doc_id % 11 = 7)"""
+
+
+@query(_PLAN + """ SELECT 'no-op' AS rule, f AS path FROM o WHERE f = t
+UNION ALL SELECT 'duplicate target', t FROM o GROUP BY t HAVING count(*) > 1
+UNION ALL SELECT 'duplicate source', f FROM o GROUP BY f HAVING count(*) > 1
+UNION ALL SELECT 'bad name', t FROM o WHERE contains(t, ':')
+UNION ALL SELECT 'missing source', f FROM o WHERE f NOT IN (SELECT path FROM m)
+UNION ALL SELECT 'target exists', t FROM o WHERE t IN (SELECT path FROM m) AND t NOT IN (SELECT f FROM o)
+UNION ALL SELECT 'missing parent', t FROM o WHERE regexp_replace(t, '/[^/]*$', '') NOT IN (SELECT folder FROM m)""")
+def plan_rules(spark, d):
+    """Every rule that keeps a plan from being applied, each broken by some operations."""
+    m = media(spark, d)
+    kind = F.col("doc_id") % 11
+    id_ = F.col("doc_id").cast("string")
+    at = lambda n, to, path=F.col("path"): m.where(kind == n).select(path.alias("from"), to.alias("to"))
+    beside = lambda prefix: F.concat("folder", F.lit(f"/{prefix}"), id_, F.lit(".jpg"))
+    following = m.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("to"))
+    parts = [
+        at(0, F.col("path")),
+        at(1, F.lit("dup/x.jpg")),
+        at(2, beside("new-"), F.concat(F.lit("gone/"), id_, F.lit(".jpg"))),
+        at(3, beside("a:")),
+        m.where(kind == 4).select("doc_id", F.col("path").alias("from")).join(following, "doc_id").select("from", "to"),
+        at(6, beside("one-")),
+        at(6, beside("two-")),
+        at(7, F.concat(F.lit("nowhere/"), id_, F.lit(".jpg"))),
+    ]
+    ops = parts[0]
+    for p in parts[1:]:
+        ops = ops.union(p)
+    return build.violations(ops, m, m.select("folder").distinct())
+
+
+@query(f"""WITH {MEDIA} SELECT count(*) FILTER (kind = 'photo') AS photos, count(*) FILTER (kind = 'video') AS videos,
+count(*) FILTER (hash IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))) AS analysed
+FROM m WHERE NOT starts_with(path, 'src1/')""")
+def library_totals(spark, d):
+    """Photos, videos and analysed files of a library, without its trash."""
+    m = media(spark, d)
+    labelled = m.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return tree.totals(m, labelled, "src1")
+
+
+@query(f"""WITH {MEDIA} SELECT CASE WHEN taken_at IS NULL THEN 'mtime' ELSE 'exif' END AS taken_src, count(*) AS files,
+count(*) FILTER (doc_id % 13 = 0) AS missing FROM m GROUP BY ALL""")
+def time_sources(spark, d):
+    """Where the files' times come from, and how many of them are gone from disk."""
+    m = media(spark, d).withColumn("taken_src", F.when(F.col("taken_at").isNull(), "mtime").otherwise("exif"))
+    return tree.time_sources(m, m.where("doc_id % 13 <> 0"))
+
+
+@query(f"""WITH {MEDIA}, c AS (SELECT DISTINCT hash FROM m WHERE doc_id % 3 = 0)
+SELECT 'trash' AS plan, path AS "from", concat('src2/', path) AS "to" FROM m WHERE hash IN (FROM c) AND NOT starts_with(path, 'src2/')
+UNION ALL SELECT 'restore', path, substr(path, 6) FROM m WHERE hash IN (FROM c) AND starts_with(path, 'src2/')""")
+def trash_and_restore(spark, d):
+    """A selection brought to the trash, and what of it lies there brought back."""
+    m = media(spark, d)
+    chosen = m.where("doc_id % 3 = 0").select("hash")
+    plans = {"trash": build.to_trash(m, chosen, "src2"), "restore": build.restore(m, chosen, "src2")}
+    trash, back = (ops.select(F.lit(name).alias("plan"), "from", "to") for name, ops in plans.items())
+    return trash.union(back)
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS x, l_tax * 100 AS y, l_extendedprice / 1000 AS w, l_discount * 100 + 1 AS h FROM lineitem),
+p AS (SELECT a.l_orderkey, a.n, a.w * a.h AS sa, c.w * c.h AS sc,
+  greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS shared
+  FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey AND c.n = a.n + 1)
+SELECT l_orderkey, n, round(CASE WHEN sa + sc - shared > 0 THEN shared / (sa + sc - shared) ELSE 0 END, 6) AS overlap FROM p""")
+def box_overlap(spark, d):
+    """How much each box overlaps the next one of its image."""
+    box = F.struct(
+        F.col("l_quantity").alias("x"), (F.col("l_tax") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("w"), (F.col("l_discount") * 100 + 1).alias("h")
+    )
+    b = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), box.alias("a"))
+    after = b.select("l_orderkey", (F.col("n") - 1).alias("n"), F.col("a").alias("c"))
+    return b.join(after, ["l_orderkey", "n"]).select("l_orderkey", "n", F.round(vectors.iou(F.col("a"), F.col("c")), 6).alias("overlap"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +14,20 @@ from ..functions.paths import folder_of, is_sidecar, is_skipped, kind_of, name_o
 from ..functions.times import resolve
 
 
-def tree(spark: SparkSession, root: str, shallow: bool = False, content: bool = False) -> DataFrame:
-    """(path relative to root, size, mtime[, content]) of every file below root; without content no file is opened."""
+def tree(
+    spark: SparkSession, root: str, shallow: bool = False, content: bool = False, only: list[str] | None = None
+) -> DataFrame:
+    """(path relative to root, size, mtime, uri[, content]) of every file below root, or of the uris in only; without
+    content no file is opened."""
     read = spark.read.format("binaryFile")
     if not shallow:
         read = read.option("recursiveFileLookup", "true")
-    found = read.load(root)
+    found = read.load(root if only is None else only)
     bare = root.removeprefix("file://").rstrip("/") + "/"
     # Spark lists encoded URIs: a plus sign stands for itself there.
     decoded = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-z0-9]+:/+", "/")
     path = F.substring(decoded, F.lit(len(bare) + 1), F.length(decoded))
-    columns = [path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+    columns = [path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("path").alias("uri")]
     return found.select(*columns, *(["content"] if content else []))
 
 
@@ -35,23 +43,45 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.withColumn("hash", F.sha2("content", 256)).drop("content")
 
 
+def opened(files: DataFrame) -> DataFrame:
+    """(path, hash, exif_at) of files (path, content): SHA-256 of the bytes and the time that EXIF gives, in one reading."""
+    from .exif import describe
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, hashlib.sha256(c).hexdigest(), describe(bytes(c)).get("taken_at")) for p, c in zip(batch["path"], batch["content"])]
+            out = pd.DataFrame(rows, columns=["path", "hash", "exif_at"])
+            out["exif_at"] = pd.to_datetime(out["exif_at"])
+            yield out
+
+    return files.select("path", "content").mapInPandas(run, "path string, hash string, exif_at timestamp")
+
+
 def scan(spark: SparkSession, root: str, catalogue: DataFrame | None = None, rehash: bool = False, **options) -> DataFrame:
     """The catalogue rows of what is below root now.
 
-    Files that the catalogue knows by path, size and time keep their hash: only the others are opened.
+    Files that the catalogue knows by path, size and time keep their hash and time: only the others are opened, by name.
+    The driver holds the new files' names, as it holds the listing.  A photo's time is that of its EXIF block, else of
+    its name, else its file's.
     """
     listed = media(tree(spark, root, options.get("shallow", False)), options.get("skip", True))
+    columns = ["hash", "path", "size", "mtime", "kind", "taken_at", "taken_src"]
     if catalogue is None or rehash:
         fresh, known = listed, None
     else:
         keys = ["path", "size", "mtime"]
         fresh = listed.join(catalogue.select(*keys), keys, "left_anti")
-        known = listed.join(catalogue.select(*keys, "hash"), keys)
-    bodies = tree(spark, root, options.get("shallow", False), content=True).select("path", "content")
-    found = hashed(fresh.join(bodies, "path"))
-    out = found if known is None else found.unionByName(known)
-    at = resolve(F.lit(None).cast("timestamp"), name_of(F.col("path")), F.col("mtime"))
-    return out.withColumn("at", at).select("hash", "path", "size", "mtime", "kind", "at.taken_at", "at.taken_src")
+        known = listed.join(catalogue.select(*keys, "hash", "taken_at", "taken_src"), keys).select(*columns)
+    if known is None:
+        bodies = tree(spark, root, options.get("shallow", False), content=True).join(fresh.select("path"), "path")
+    else:
+        # In a name to load, what begins a pattern is escaped.
+        names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r[0]) for r in fresh.select("uri").toLocalIterator()]
+        bodies = tree(spark, root, content=True, only=names) if names else tree(spark, root, content=True).limit(0)
+    found = opened(bodies).join(fresh, "path")
+    at = resolve(F.col("exif_at"), name_of(F.col("path")), F.col("mtime"))
+    found = found.withColumn("at", at).select("hash", "path", "size", "mtime", "kind", "at.taken_at", "at.taken_src")
+    return found if known is None else found.unionByName(known)
 
 
 META_FILE = "photos.json"

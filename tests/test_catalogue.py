@@ -338,3 +338,59 @@ def test_every_image_has_its_boxes_suppressed(spark, sf):
 
     got = {r[0] for r in registry.queries()["suppressed_boxes"](spark, sf).select("hash").distinct().collect()}
     assert got == {r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+
+
+def test_names_dealt_natively_equal_those_dealt_one_by_one(spark):
+    import random
+
+    from glassine.plans import rename
+
+    rng = random.Random(5)
+    todo, taken = [], []
+    for f in range(40):
+        base, ext = f"b{f}", rng.choice(["jpg", "mov"])
+        todo += [(base, ext, f"h{f}-{i}", f"d{rng.randrange(9)}/p{f}-{i}.jpg", f"p{f}-{i}.jpg") for i in range(rng.randrange(1, 12))]
+        numbers = rng.sample(range(1, 16), rng.randrange(0, 9))
+        taken += [(base, ext, n, f"{base}.{ext}" if n == 1 else f"{base}_{n}.{ext}") for n in numbers]
+    todo = spark.createDataFrame(todo, "base string, ext string, hash string, path string, name string")
+    taken = spark.createDataFrame(taken, "base string, ext string, number long, held string")
+    one, two = (sorted(map(tuple, f(todo, taken).collect())) for f in (rename._numbered_names, rename._names_one_by_one))
+    assert one == two
+
+
+def test_numbers_over_a_whole_scope(spark):
+    from glassine.scratch import numbered
+
+    df = spark.range(0, 1000, numPartitions=7).selectExpr("id", "hash(id) AS h")
+    got = [r["n"] for r in numbered(df, "n", "h", "id").orderBy("h", "id").collect()]
+    assert got == list(range(1000))
+    assert numbered(df.limit(0), "n", "h").count() == 0
+
+
+def test_thumbnails_of_a_thousand_pixels(spark):
+    import numpy as np
+
+    from glassine.functions import vectors
+
+    thumbs = np.random.default_rng(1).integers(0, 256, (40, 1024)).astype(float)
+    thumbs[3] = 9.0
+    df = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(thumbs)], "i long, thumb array<float>")
+    for r in df.select("i", vectors.standardise(F.col("thumb")).alias("n")).collect():
+        t = thumbs[r["i"]]
+        assert np.allclose(r["n"], (t - t.mean()) / max(t.std(), 1e-6))
+
+
+def test_best_two_people_with_and_without_a_join(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = [(f"h{i}", i % 3, rng.normal(size=8).tolist()) for i in range(60)] + [("null", 0, None)]
+    faces = spark.createDataFrame(vectors, "hash string, idx long, embedding array<double>")
+    refs = spark.createDataFrame([(f"p{i % 5}", i % 5, rng.normal(size=8).tolist()) for i in range(17)], "name string, ord long, embedding array<double>")
+    few = {(r["hash"], r["idx"]): r for r in identity.two_best(faces, refs.collect(), ["hash", "idx"]).collect()}
+    for r in identity._joined(faces.where("embedding IS NOT NULL"), refs, ["hash", "idx"]).collect():
+        other = few[r["hash"], r["idx"]]
+        assert (r["name"], r["runner_up"]) == (other["name"], other["runner_up"])
+        assert abs(r["similarity"] - other["similarity"]) < 1e-9 and abs(r["runner_up_sim"] - other["runner_up_sim"]) < 1e-9
+    assert few["null", 0]["name"] is None and len(few) == 61
+    assert {r["kind"] for r in identity.assign(faces, refs.limit(0), ["hash", "idx"]).collect()} == {"Unknown"}

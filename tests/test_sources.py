@@ -1,7 +1,9 @@
 """File trees, side files, gazetteers, images and their metadata, on files made here."""
 
 import datetime
+import hashlib
 import json
+import os
 import struct
 import zlib
 
@@ -110,6 +112,22 @@ def test_scan_is_incremental(spark, tmp_path):
     second = files.scan(spark, f"file://{root}", first)
     status = {r["status"]: r["files"] for r in catalog.stats(catalog.reconcile(first, second)).collect()}
     assert status == {"unchanged": 2, "moved": 1}
+    # Known files aren't opened: other bytes of the same size and time keep the hash.
+    known = root / "moved.mov"
+    second = spark.createDataFrame(second.collect(), second.schema)
+    stat = known.stat()
+    known.write_bytes(b"x" * stat.st_size)
+    os.utime(known, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    (root / "new [1]{a}*.jpg").write_bytes(jpeg(tiff()))
+    third = {r["path"]: r for r in files.scan(spark, f"file://{root}", second).collect()}
+    assert set(third) == {"20260816_151256.jpg", "Tr é/d.PNG", "moved.mov", "new [1]{a}*.jpg"} and third["moved.mov"]["hash"] == got["Trip/b.mov"]["hash"]
+    new = third["new [1]{a}*.jpg"]
+    assert new["taken_src"] == "exif" and str(new["taken_at"]) == "2026-08-16 15:12:56"
+    assert new["hash"] == hashlib.sha256((root / "new [1]{a}*.jpg").read_bytes()).hexdigest()
+    assert third["20260816_151256.jpg"]["taken_src"] == "filename"
+    first.unpersist()
+    again = {r["path"]: r["hash"] for r in files.scan(spark, f"file://{root}", second, rehash=True).collect()}
+    assert again["moved.mov"] != third["moved.mov"]["hash"]
 
 
 def test_side_files(spark, tmp_path):
@@ -180,6 +198,16 @@ def test_signatures(spark, tmp_path):
     assert [(r["i"], r["j"]) for r in pairs.collect()] == [("a.png", "b.png")]
 
 
+def test_fixed_signature():
+    """A 33 x 32 image is its own resized one, so the bits can be read off it."""
+    gray = np.zeros((32, 33))
+    gray[0, 0], gray[0, 8], gray[28, 28], gray[4, 5] = 200, 200, 9, 7
+    assert images.dhash(gray) == -(1 << 63) | 1 << 61 | 1
+    assert images.resized(np.full((100, 50), 7.0), 32, 32).tolist() == np.full((32, 32), 7.0).tolist()
+    ramp = images.resized(np.tile(np.arange(64.0), (64, 1)), 32, 32)
+    assert ramp[5, 10] == 21 and ramp[0].tolist() == sorted(ramp[0])
+
+
 def test_pixels():
     p = np.arange(6).reshape(2, 3, 1)
     shapes = {o: images.oriented(p, o)[..., 0].tolist() for o in range(1, 9)}
