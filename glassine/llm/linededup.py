@@ -97,7 +97,8 @@ def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
     """(row, doc_id, line, h, drop): for every line whether it is dropped as a `copy`, as `near`, or kept (null).
 
     Empty lines, and so null and empty texts, are kept.  Rows are documents of their own even where ids repeat; rows
-    without an id come after the others.  Columns other than doc_id and text are not read.
+    without an id come after the others.  Texts are read whole, however long, and lines compared whole.  An empty table
+    gives an empty result.  Columns other than doc_id and text are not read.
     """
     lines = split_lines(docs)
     full = lines.where("text <> ''")
@@ -110,7 +111,11 @@ def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs' rows as doc_id, text without the dropped lines; a text of which nothing is left is empty."""
+    """docs' rows as doc_id, text without the dropped lines; a text of which nothing is left, or a null one, is empty.
+
+    Repeated rows stay, the later ones without the lines that the first has; an empty table gives an empty result; other
+    columns are not read.
+    """
     lines = split_lines(docs)
     kept = line_decisions(docs, least_chars).where("drop IS NULL").select("row", "line")
     per = lines.join(kept, ["row", "line"], "left_semi").groupBy("row", "doc_id")

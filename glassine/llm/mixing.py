@@ -85,7 +85,8 @@ def mix(
     Sources without a positive weight get no slot and aren't selected.
 
     A null source is a source of its own; a null or empty text counts one character, as every document does on top of
-    its own; documents longer than a block take up the slots they cover.  Repeated rows are rows of their own.
+    its own; documents longer than a block take up the slots they cover.  Repeated rows are rows of their own.  An empty table
+    gives an empty result; columns of any name and type are carried in doc.
     """
     spark = docs.sparkSession
     chunks = max(1, min(CHUNKS, math.ceil(docs.count() / CHUNK_ROWS)))

@@ -78,8 +78,8 @@ def parsed(messages: DataFrame) -> DataFrame:
     slim = messages.select(
         F.monotonically_increasing_id().alias("row"),
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"),
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").try_cast("long").alias("conv_id"),
+        F.col("turn").try_cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
     )
@@ -128,7 +128,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     lists the origin of each level as (level, turn).
 
     Null conv_ids are one conversation.  A message without a turn quotes nothing, is never an origin and comes first.
-    Repeated rows stay; a null text is empty.  Other columns are not read.
+    An id or turn that is no number is null in the result; conversations are told apart by the id as text.  Repeated rows
+    stay; a null text is empty; texts are read whole, however long; an empty table gives an empty result.  Other columns
+    are not read.
     """
     found = durable(parsed(messages), "messages")
     origins = durable(quotations(found), "quotations")

@@ -3,6 +3,7 @@
 import bisect
 import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -14,6 +15,8 @@ from glassine.llm import attribution, linededup, mixing, queries, quotes
 from glassine.llm.shared import connected_components
 
 
+WORDS = "walk talk read write sing swim cook bake plant paint carve build climb dance".split()
+
 # --- quotes -----------------------------------------------------------------------------------------------------------
 
 CHAT = [
@@ -49,6 +52,51 @@ def test_long_chain_of_replies(spark):
     assert all((r["depth"], r["thread"], r["position"]) == (r["turn"], 0, r["turn"]) for r in got)
 
 
+def test_generated_conversations(spark):
+    """Every link, chain and order of generated conversations, known from how they were made."""
+    rng = random.Random(6)
+    say = lambda conv, turn: f"In {conv} at {turn} we {' '.join(rng.choice(WORDS) for _ in range(6))}."
+    rows, want = [], {}
+    for conv in range(25):
+        own, quoted, parent = [], [], []
+        for turn in range(rng.randrange(1, 15)):
+            text = "\n".join(say(conv, turn) for _ in range(rng.randrange(1, 4)))
+            to = rng.randrange(turn) if turn and rng.random() < 0.7 else None
+            lines = []
+            if to is not None:
+                mark = rng.choice([">", "> "])
+                lines = [f"{mark}{x}" for x in quoted[to] + own[to].upper().split("\n")]
+                if rng.random() < 0.5:
+                    lines = ["On Monday a person wrote:", *lines]
+            rows.append((conv, turn, "user", "\n".join([*lines, text])))
+            own.append(text)
+            quoted.append([x for x in lines if x.startswith(">")])
+            parent.append(to)
+        thread, depth = [], []
+        for turn, to in enumerate(parent):
+            thread.append(turn if to is None else thread[to])
+            depth.append(0 if to is None else depth[to] + 1)
+        order = sorted(range(len(parent)), key=lambda t: (thread[t], t))
+        for turn, to in enumerate(parent):
+            levels, at = [], to
+            while at is not None:
+                levels.append(at)
+                at = parent[at]
+            want[conv, turn] = (order.index(turn), own[turn], to, depth[turn], thread[turn], [(i + 1, t) for i, t in enumerate(levels)])
+    rng.shuffle(rows)
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        have = (r["position"], r["text"], r["reply_to"], r["depth"], r["thread"], [tuple(q) for q in r["quotes"]])
+        assert have == want[r["conv_id"], r["turn"]]
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("a", "1", "user", "Some words that are said here"), ("a", "2", "user", "> Some words that are said here\nYes"), ("b", "x", "user", None)]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id string, turn string, role string, text string")).collect()
+    assert sorted((r["turn"] or 0, r["reply_to"] or 0, r["position"]) for r in got) == [(0, 0, 0), (1, 0, 0), (2, 1, 1)]
+
+
 def test_queries_without_quotes(spark, sf):
     got = quotes.query(spark, sf)
     want = spark.read.parquet(f"{sf}/conversations.parquet")
@@ -199,6 +247,26 @@ def test_a_tiny_source_does_not_end_the_mixture(spark):
 # --- attribution ------------------------------------------------------------------------------------------------------
 
 
+def test_attribution_of_other_scripts(spark, sf, texts):
+    """Tokens that hold parts of characters, against the library's own offsets; and the query's totals."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(attribution.VOCABULARY))
+    rows = [(1, "naïve café\n漢字かな交じり文\n🙂🙂 fin\nñandú"), (2, "漢\n字\n🙂\n"), (3, "\n\né\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in ("first", "last"):
+        got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in attribution.attribute(docs, rule=rule).collect()}
+        for doc_id, text in rows:
+            starts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < len(text))]
+            want = Counter()
+            for a, b in library.encode(text, add_special_tokens=False).offsets:
+                want[bisect.bisect_right(starts, a if rule == "first" else b - 1) - 1] += 1
+            assert [got[doc_id, s] for s in range(len(starts))] == [want[s] for s in range(len(starts))]
+    totals = attribution.query(spark, sf).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in totals} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in texts.items()}
+
+
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_attribution(spark, odd, rule):
     import public_tokenizers
