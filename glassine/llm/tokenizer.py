@@ -175,7 +175,7 @@ class Encoder:
         lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         out = self._words(words) + first
         # Where in the pool of answers each word's ids begin, in the order of the texts.
         sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
