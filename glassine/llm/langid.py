@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import durable, guarded_broadcast, small_batches
+from .shared import durable, guarded_broadcast, small_batches, tidied
 
 #: n-gram length, slots of the table and probes per n-gram.
 N, SLOT_BITS, PROBES = 4, 20, 3
@@ -129,7 +129,7 @@ def train(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> Model:
                     columns = [pa.array(np.full(len(n), i, np.int32)), pa.array(grams), pa.array(n.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, ["i", "gram", "n"])
 
-    counts = small_batches(sample).mapInArrow(count, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
+    counts = small_batches(sample).mapInArrow(tidied(count), "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
     counts = durable(counts, "grams")
     taken = durable(counts.groupBy("i").agg(F.sum("n").alias("taken")), "taken")
     per_gram = Window.partitionBy("gram")
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc", "lang_pred", "score"])
 
     schema = T.StructType([packed.schema["doc"]]).add("lang_pred", "string").add("score", "double")
-    return small_batches(packed).mapInArrow(run, schema)
+    return small_batches(packed).mapInArrow(tidied(run), schema)
 
 
 def held_out() -> F.Column:

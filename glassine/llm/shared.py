@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +76,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run for a worker that other stages have used: what token encoding keeps goes first, and freed memory goes back to
+    the machine at the end, as Spark keeps workers."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sys.modules.get("glassine.llm.tokenizer")
+        if tokens:
+            tokens.encoder.cache_clear()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidy
+
+
 def ascii_lower(text: Column) -> Column:
     """text with A-Z lower-cased and every other character left alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, durable, guarded_broadcast, small_batches, thin
+from .shared import connected_components, durable, guarded_broadcast, small_batches, thin, tidied
 
 ONES = (1 << 64) - 1
 #: Keys with more fingerprints than this are cut again.
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(slim).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(slim).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def walk(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -148,7 +148,7 @@ def _verified(keyed: DataFrame, max_bits: int) -> DataFrame:
             yield links(keys, fps)
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -212,7 +212,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return small_batches(docs).mapInArrow(run, "node long, shingles array<long>")
+    return small_batches(docs).mapInArrow(tidied(run), "node long, shingles array<long>")
 
 
 def alike(members: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -279,7 +279,7 @@ def _tiled_links(left: DataFrame, sets: DataFrame, similarity: float) -> DataFra
             yield links()
 
     grouped = dealt.select(group, "node").join(sets, "node").select("key", "node", "shingles")
-    return small_batches(grouped.repartition("key").sortWithinPartitions("key", "node")).mapInArrow(run, "a long, b long")
+    return small_batches(grouped.repartition("key").sortWithinPartitions("key", "node")).mapInArrow(tidied(run), "a long, b long")
 
 
 def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -315,7 +315,7 @@ def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lot", "node", "fp", "n", "keys"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lot")
-    return small_batches(slim).mapInArrow(run, "doc_id long, lot long, node long, fp long, n long, keys array<long>")
+    return small_batches(slim).mapInArrow(tidied(run), "doc_id long, lot long, node long, fp long, n long, keys array<long>")
 
 
 def _jaccard(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a generation of words and of pieces (mostly asked for through words).
-WORDS, PIECES = 250_000, 60_000
+WORDS, PIECES = 200_000, 30_000
 #: Bytes of text laid out at once.
 CHUNK_BYTES = 4 << 20
 #: Flags of what was seen, by hash; all are dropped once a third is set.
