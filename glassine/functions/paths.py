@@ -139,3 +139,17 @@ def bytes_label(n: Column) -> Column:
 def id32(text: Column) -> Column:
     """A 32-digit hexadecimal id."""
     return F.md5(text)
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """struct(start, end) of a request header like 'bytes=0-99', 'bytes=500-' or 'bytes=-500' for a file of so many bytes;
+    null where it says no range of the file."""
+    spec = F.regexp_extract(F.trim(header), r"^bytes=\s*(\d*)\s*-\s*(\d*)\s*$", 0)
+    a, b = (F.regexp_extract(spec, r"^bytes=\s*(\d*)\s*-\s*(\d*)\s*$", i).try_cast("long") for i in (1, 2))
+    bounded = F.regexp_extract(spec, r"-\s*\d", 0) != ""
+    last = size - 1
+    start = F.when(a.isNotNull(), a).otherwise(F.greatest(size - b, F.lit(0)))
+    end = F.when(a.isNotNull() & bounded, F.least(b, last)).otherwise(last)
+    suffix = a.isNull() & (b > 0) & (size > 0)
+    good = F.when(a.isNotNull(), (a < size) & (a <= end)).otherwise(suffix)
+    return F.when((spec != "") & F.coalesce(good, F.lit(False)), F.struct(start.alias("start"), end.alias("end")))

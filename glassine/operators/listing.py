@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import folder_of, in_folder, name_of, stem_of
 from ..functions.times import batch
+from ..scratch import numbered
 
 
 def last_paths(files: DataFrame) -> DataFrame:
@@ -119,3 +120,20 @@ def months(files: DataFrame) -> DataFrame:
 def album_counts(meta: DataFrame) -> DataFrame:
     """(album, photos)."""
     return meta.select("hash", F.explode("albums").alias("album")).groupBy("album").agg(F.countDistinct("hash").alias("photos"))
+
+
+def described(meta: DataFrame) -> DataFrame:
+    """One row: photos that somebody has rated, labelled or put into an album."""
+    said = (F.coalesce("rating", F.lit(0)) > 0) | F.col("label").isNotNull() | (F.coalesce(F.size("albums"), F.lit(0)) > 0)
+    return meta.where(said).agg(F.countDistinct("hash").alias("photos"))
+
+
+def stored(files: DataFrame) -> DataFrame:
+    """(folder, files, bytes) of the top folders of a cache's files (path, size); '' is what lies beside them."""
+    top = F.when(F.col("path").contains("/"), F.split("path", "/")[0]).otherwise("").alias("folder")
+    return files.groupBy(top).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def every(df: DataFrame, step: int, *order) -> DataFrame:
+    """Every step-th row of the whole table, from the first on, in the given order."""
+    return numbered(df, "__n", *order).where(F.col("__n") % step == 0).drop("__n")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import RESERVED, filename_problem, folder_name, folder_of, in_folder, name_of
+from ..functions.paths import RESERVED, ext_of, filename_problem, folder_name, folder_of, in_folder, name_of
 
 OPS = ["kind", "hash", "from", "to"]
 
@@ -143,3 +143,43 @@ def rekey(table: DataFrame, changes: DataFrame) -> DataFrame:
     """A table keyed by hash after files were rewritten; changes has hash and new_hash."""
     out = table.join(changes, "hash", "left").withColumn("hash", F.coalesce("new_hash", "hash"))
     return out.select(*table.columns)
+
+
+def keep_aside(files: DataFrame, paths: DataFrame, folder: str = "Originals") -> DataFrame:
+    """Ops that move chosen files (path) into a folder, under their own names or, where taken, with _2, _3 and so on.
+
+    Files of one name take the free numbers in path order; the names that others of the choice have count as taken.
+    """
+    chosen = files.join(paths.select("path").distinct(), "path", "left_semi").withColumn("name", name_of(F.col("path")))
+    dotted = F.col("name").contains(".")
+    stem = F.when(dotted, F.regexp_replace("name", r"\.[^.]*$", "")).otherwise(F.col("name"))
+    ext = F.when(dotted, F.regexp_extract("name", r"([^.]*)$", 1)).otherwise("jpg")
+    held = files.where(folder_of(F.col("path")) == folder).select(name_of(F.col("path")).alias("as")).distinct()
+    plain = chosen.select(F.col("name").alias("as")).distinct()
+    taken = held.union(plain.select("as")).distinct()
+    numbered = taken.groupBy(F.regexp_replace("as", r"_\d+(\.[^.]*)$", "$1").alias("family")).agg(F.count("*").alias("names"))
+    wanted = chosen.groupBy("name").agg(F.count("*").alias("files"))
+    wanted = wanted.withColumn("family", F.concat(stem, F.lit("."), ext)).join(numbered, "family", "left")
+    most = F.col("files") + F.coalesce("names", F.lit(0)) + 1
+    slots = wanted.select("name", stem.alias("stem"), ext.alias("ext"), F.explode(F.sequence(F.lit(1), most.cast("int"))).alias("n"))
+    own = F.col("n") == 1
+    slots = slots.withColumn("as", F.when(own, F.col("name")).otherwise(F.concat("stem", F.lit("_"), F.col("n").cast("string"), F.lit("."), F.col("ext"))))
+    free = slots.where(own).join(held, "as", "left_anti").union(slots.where(~own).join(taken, "as", "left_anti"))
+    rank = lambda *order: F.row_number().over(Window.partitionBy("name").orderBy(*order))
+    dealt = chosen.withColumn("k", rank("path")).join(free.select("name", "as", rank("n").alias("k")), ["name", "k"])
+    return _ops(dealt, F.concat(F.lit(f"{folder}/"), F.col("as")))
+
+
+def strip_files(files: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Files (path, hash, content) without their metadata, and the ops that keep the originals aside, if they are kept.
+
+    The first table has path, content, hash and new_hash for rekey; problem says why a file was left alone.
+    """
+    from ..sources.exif import strip
+
+    can = ext_of(F.col("path")).isin("jpg", "jpeg", "png")
+    bare = strip(files.where(can).select("path", "hash", "content")).withColumn("new_hash", F.sha2("content", 256))
+    left = files.where(~can).select("path", "hash", "content", F.col("hash").alias("new_hash"))
+    problem = F.when(can, F.lit(None).cast("string")).otherwise("this kind of file can't be stripped")
+    out = bare.unionByName(left).withColumn("problem", problem)
+    return out, keep_aside(files, files.where(can).select("path")) if keep else None

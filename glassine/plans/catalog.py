@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.listing import missing
+from ..scratch import written
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new in place of those with the same keys."""
@@ -101,3 +105,58 @@ class Versions:
         if not self._fs.rename(pointer, self._path(f"{self.root}/v{version}.json")):
             raise RuntimeError(f"version {version} of {self.root} was written by somebody else")
         return version
+
+    def discard(self, version: int) -> None:
+        """Takes a version back; the one before it is current again.  Its pointer goes first."""
+        self._fs.delete(self._path(f"{self.root}/v{version}.json"), False)
+        self._fs.delete(self._path(f"{self.root}/v{version}"), True)
+
+
+def identities(folders: DataFrame) -> DataFrame:
+    """(folder, id, why) of library folders (folder, marker, home, writable): which cache each one uses.
+
+    marker is the id that a folder carries, home the folder where that id was last seen.  own: the marker is the folder's,
+    or its home is no longer among the folders (it was moved).  copy: its home is still there and carries the same id, so
+    this one needs a new id.  new: no marker.  Ids that have to be made are derived from the path: path where the folder
+    can't be written to, and the marker therefore not kept.
+    """
+    there = folders.select(F.col("folder").alias("home"), F.col("marker").alias("home_marker"))
+    out = folders.join(there, "home", "left")
+    made = F.substring(F.sha2("folder", 256), 1, 32)
+    copied = (F.col("home") != F.col("folder")) & (F.col("home_marker") == F.col("marker"))
+    own = F.col("marker").isNotNull() & ~F.coalesce(copied, F.lit(False))
+    why = F.when(own, "own").when(~F.col("writable"), "path").when(F.col("marker").isNotNull(), "copy").otherwise("new")
+    return out.select("folder", F.when(own, F.col("marker")).otherwise(made).alias("id"), why.alias("why"))
+
+
+def forgotten(caches: DataFrame, folders: DataFrame) -> DataFrame:
+    """The caches (id, folder, …) whose folder is gone, to be removed."""
+    return caches.join(folders.select("folder"), "folder", "left_anti")
+
+
+def extract(files: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, failed: str, version: str, parts: int = 16, stop: Callable[[], bool] = lambda: False) -> int:
+    """Works on the files (hash, …) that have no result yet, part by part, and keeps what each part gave; parts finished.
+
+    work maps files to rows (hash, ok boolean, …).  Those that are ok are appended to the table at done, the others'
+    hashes to the one at failed with the version that failed on them: this version won't try them again.  A run that is
+    stopped, or dies, goes on where it was; a part whose results were partly kept is worked on without them.
+    """
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def kept(root: str, schema: str) -> DataFrame:
+        there = path(root).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(root))
+        return spark.read.schema(schema).parquet(root) if there else spark.createDataFrame([], schema)
+
+    kind = files.schema["hash"].dataType.simpleString()
+    finished = 0
+    for part in range(parts):
+        if stop():
+            break
+        todo = files.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part)
+        todo = missing(todo, kept(done, f"hash {kind}"), kept(failed, f"hash {kind}, version string"), version)
+        found = written(work(todo.dropDuplicates(["hash"])))
+        found.where("ok").drop("ok").write.mode("append").parquet(done)
+        found.where("NOT ok").select("hash", F.lit(version).alias("version")).write.mode("append").parquet(failed)
+        finished += 1
+    return finished

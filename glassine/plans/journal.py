@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import numbered
 from .build import relocate, undo, violations
-from .catalog import repath
+from .catalog import Versions, repath
 
 
 def entry_id(label: str, at: datetime.datetime) -> str:
@@ -32,6 +32,63 @@ def history(journal: DataFrame) -> DataFrame:
     return journal.groupBy("id", "label", "applied_at").agg(F.count("*").alias("ops")).orderBy(F.desc("id"))
 
 
+_ENTRY = "id string, label string, applied_at timestamp, seq int, kind string, hash string, `from` string, `to` string"
+
+
+class Journal:
+    """Entries as JSON files, a folder each, below root; an entry counts once its writer has finished."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def write(self, ops: DataFrame, label: str, at: datetime.datetime) -> str:
+        """Records ops, and returns the entry's id; an id that is there already gets a number."""
+        id = base = entry_id(label, at)
+        n = 2
+        while self._fs.exists(self._path(f"{self.root}/{id}")):
+            id, n = f"{base}-{n}", n + 1
+        record(ops, label, at).withColumn("id", F.lit(id)).write.json(f"{self.root}/{id}")
+        return id
+
+    def list(self) -> list[str]:
+        """The ids of finished entries, in order."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(n for n in names if self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
+
+    def load(self, id: str | None = None) -> DataFrame:
+        """An entry's ops, or those of all."""
+        ids = self.list() if id is None else [id]
+        if not ids:
+            return self.spark.createDataFrame([], _ENTRY)
+        return self.spark.read.schema(_ENTRY).json([f"{self.root}/{i}" for i in ids])
+
+    def discard(self, id: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{id}"), True)
+
+
+def commit(files: Versions, meta: Versions, journal: Journal, ops: DataFrame, label: str, directories: DataFrame, at: datetime.datetime) -> str:
+    """Applies a plan to the versioned catalogue and user metadata and records it; the entry's id.
+
+    First the catalogue, then the journal, then the metadata: whatever fails, what was done before is taken back, so that
+    no change stands that can't be undone.  Files themselves are not moved.
+    """
+    moved, followed = apply(files.read(), meta.read(), ops, directories)
+    done = [(files.discard, files.write(moved))]
+    try:
+        id = journal.write(ops, label, at)
+        done.append((journal.discard, id))
+        meta.write(followed)
+    except Exception:
+        for take_back, what in reversed(done):
+            take_back(what)
+        raise
+    return id
+
+
 def apply(files: DataFrame, meta: DataFrame, ops: DataFrame, directories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The catalogue and user metadata after a plan; an error, and no change, if a rule is broken."""
     broken = violations(ops, files, directories).first()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, places, times, vectors
-from .operators import clustering, identity, listing, similarity, tree
+from .operators import clustering, faces, identity, listing, similarity, tree
 from .operators import places as place_ops
 from .plans import build, catalog, grammar, people, rename
 from .session import table
@@ -877,3 +877,59 @@ def box_overlap(spark, d):
     b = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), box.alias("a"))
     after = b.select("l_orderkey", (F.col("n") - 1).alias("n"), F.col("a").alias("c"))
     return b.join(after, ["l_orderkey", "n"]).select("l_orderkey", "n", F.round(vectors.iou(F.col("a"), F.col("c")), 6).alias("overlap"))
+
+
+@query("""WITH h AS (SELECT doc_id, n_chars AS size, CASE doc_id % 5 WHEN 0 THEN concat('bytes=', doc_id % 700, '-', doc_id % 900)
+  WHEN 1 THEN concat('bytes=', doc_id % 1500, '-') WHEN 2 THEN concat('bytes=-', doc_id % 3000) WHEN 3 THEN 'bytes=-' ELSE 'items=0-5' END AS header FROM documents),
+p AS (SELECT *, regexp_extract(header, '^bytes=(\\d*)-', 1) AS a, regexp_extract(header, '^bytes=\\d*-(\\d*)$', 1) AS b FROM h),
+n AS (SELECT *, try_cast(a AS BIGINT) AS x, try_cast(b AS BIGINT) AS y FROM p)
+SELECT doc_id, CASE WHEN x IS NOT NULL THEN x ELSE greatest(size - y, 0) END AS first,
+CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(y, size - 1) ELSE size - 1 END AS last FROM n
+WHERE starts_with(header, 'bytes=') AND CASE WHEN x IS NOT NULL THEN x < size AND (y IS NULL OR x <= least(y, size - 1)) ELSE y > 0 AND size > 0 END""")
+def byte_ranges(spark, d):
+    """Which bytes of a file a request asks for."""
+    id_, text = F.col("doc_id"), lambda c: c.cast("string")
+    kinds = [
+        F.concat(F.lit("bytes="), text(id_ % 700), F.lit("-"), text(id_ % 900)),
+        F.concat(F.lit("bytes="), text(id_ % 1500), F.lit("-")),
+        F.concat(F.lit("bytes=-"), text(id_ % 3000)),
+        F.lit("bytes=-"),
+        F.lit("items=0-5"),
+    ]
+    header = F.element_at(F.array(*kinds), (id_ % 5 + 1).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", paths.byte_range(header, F.col("n_chars")).alias("r"))
+    return docs.where("r IS NOT NULL").select("doc_id", F.col("r.start").alias("first"), F.col("r.end").alias("last"))
+
+
+@query("SELECT l_orderkey AS hash, count(*) AS faces, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS people FROM lineitem GROUP BY 1")
+def photo_people(spark, d):
+    """How many faces a photo has, and whose."""
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hash"), F.col("l_returnflag").alias("name"))
+    return faces.people_of(found).withColumn("people", F.array_join("people", ","))
+
+
+@query("""WITH n AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS n FROM documents)
+SELECT doc_id, n_chars FROM n WHERE n % 7 = 0""")
+def every_seventh(spark, d):
+    """Every seventh file of the whole library, largest first."""
+    return listing.every(table(spark, d, "documents").select("doc_id", "n_chars"), 7, F.desc("n_chars"), F.col("doc_id"))
+
+
+@query("SELECT source AS folder, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1")
+def stored_bytes(spark, d):
+    """What each top folder of a cache takes."""
+    return listing.stored(media(spark, d).select("path", "size"))
+
+
+@query(f"""WITH {MEDIA}, c AS (SELECT hash, path, concat(lang, (doc_id % 50), '.', ext) AS name, concat(lang, (doc_id % 50)) AS stem, ext, doc_id
+  FROM (SELECT m.hash, d.lang, m.doc_id, ['jpg', 'heic', 'cr3', 'mov', 'txt'][m.doc_id % 5 + 1] AS ext,
+    concat(m.folder, '/', m.doc_id, '/', d.lang, (m.doc_id % 50), '.', ['jpg', 'heic', 'cr3', 'mov', 'txt'][m.doc_id % 5 + 1]) AS path
+    FROM m JOIN documents d USING (doc_id))),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS k FROM c)
+SELECT path AS "from", concat('Originals/', CASE WHEN k = 1 THEN name ELSE concat(stem, '_', k, '.', ext) END) AS "to" FROM k""")
+def kept_aside(spark, d):
+    """Originals kept aside before their files are rewritten, numbered where names meet."""
+    m = media(spark, d).withColumn("lang", F.element_at(F.split("folder", "/"), -1))
+    name = F.concat("lang", (F.col("doc_id") % 50).cast("string"), F.lit("."), paths.ext_of(F.col("path")))
+    m = m.withColumn("path", F.concat_ws("/", "folder", F.col("doc_id").cast("string"), name))
+    return build.keep_aside(m, m.select("path")).select("from", "to")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime
+import math
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Sizes of TIFF's types, and tags.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 MAKE, MODEL, DATE, EXIF_IFD, GPS_IFD = 0x010F, 0x0110, 0x0132, 0x8769, 0x8825
+DIGITISED = 0x9004
 TAKEN, EXPOSURE, APERTURE, ISO, FOCAL, LENS = 0x9003, 0x829A, 0x829D, 0x8827, 0x920A, 0xA434
 THUMB_AT, THUMB_SIZE, ORIENTATION = 0x0201, 0x0202, 0x0112
 #: Directories read at most, how deep, and what a preview may be.
@@ -81,10 +84,63 @@ def segments(data: bytes) -> Iterator[tuple[int, int, int]]:
         at += 2 + size
 
 
+#: Boxes of an ISO base media file that hold others, and what precedes the children of a named box.
+HOLDERS, NAMED = (b"moov", b"trak", b"mdia", b"minf", b"stbl"), b"uuid"
+
+
+def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, start, end) of the bodies of an ISO base media file's boxes, parents before children; a box that reaches
+    beyond its parent ends the walk of that parent."""
+    end = len(data) if end is None else end
+    while start + 8 <= end and depth <= 6:
+        size, kind = struct.unpack_from(">I4s", data, start)
+        head = 8
+        if size == 1 and start + 16 <= end:
+            (size,), head = struct.unpack_from(">Q", data, start + 8), 16
+        size = size or end - start
+        if size < head or start + size > end:
+            return
+        body, after = start + head, start + size
+        yield kind, body, after
+        if kind in HOLDERS or kind == NAMED:
+            yield from boxes(data, body + 16 * (kind == NAMED), after, depth + 1)
+        start = after
+
+
+def _media_spans(data: bytes) -> list[tuple[int, int]]:
+    """(start, length) of the pictures in an ISO base media file: preview boxes, and the first sample of each track."""
+    spans, size, offset = [], None, None
+    for kind, start, end in boxes(data):
+        if kind in (b"PRVW", b"THMB"):
+            at = data.find(b"\xff\xd8\xff", start, min(end, start + 128))
+            if at >= 0:
+                spans.append((at, end - at))
+        elif kind == b"trak":
+            size = offset = None
+        elif kind == b"stsz" and end - start >= 12:
+            same = struct.unpack_from(">I", data, start + 4)[0]
+            size = same or (struct.unpack_from(">I", data, start + 12)[0] if end - start >= 16 else None)
+        elif kind in (b"stco", b"co64") and end - start >= 16 - 4 * (kind == b"stco"):
+            (offset,) = struct.unpack_from(">Q" if kind == b"co64" else ">I", data, start + 8)
+        else:
+            continue
+        if kind in (b"stsz", b"stco", b"co64") and size and offset:
+            spans.append((offset, size))
+            size = offset = None
+    return spans
+
+
 def tiff_block(data: bytes) -> bytes | None:
-    """The EXIF block of a JPEG, or the data themselves where they are a TIFF file."""
+    """The EXIF block: a JPEG's, or the data themselves where they are a TIFF file; of RAW files in other containers the
+    one in their preview or in a box of its own."""
     if data[:4] in (b"II*\0", b"MM\0*"):
         return data
+    if data[:15] == b"FUJIFILMCCD-RAW" and len(data) >= 92:
+        at, size = struct.unpack_from(">II", data, 84)
+        data = data[at : at + size]
+    elif data[4:8] == b"ftyp":
+        found = (data[a:b] for kind, a, b in boxes(data) if kind == b"CMT1")
+        return next((block for block in found if block[:2] in (b"II", b"MM")), None)
     for marker, start, end in segments(data):
         if marker == 0xE1 and data[start + 4 : start + 10] == b"Exif\0\0":
             return data[start + 10 : end]
@@ -178,6 +234,156 @@ def stripped(data: bytes) -> bytes:
     return data
 
 
+def shown(data: bytes) -> dict[str, str]:
+    """What describe finds, as text for people: camera, lens, iso, exposure ('1/250 s'), aperture ('f/2.8'), focal
+    ('50 mm') and gps ('37 deg 58 min 30 sec N, …'), as far as there are any."""
+    got = describe(data)
+    number = lambda x: f"{x:.10g}"
+    out = {k: got[k] for k in ("camera", "lens") if got.get(k)}
+    known = {k: got[k] for k in ("iso", "exposure", "aperture", "focal") if got.get(k) is not None and math.isfinite(got[k])}
+    if "iso" in known:
+        out["iso"] = number(known["iso"])
+    if known.get("exposure"):
+        out["exposure"] = (number(known["exposure"]) if known["exposure"] >= 1 else f"1/{number(1 / known['exposure'])}") + " s"
+    if "aperture" in known:
+        out["aperture"] = f"f/{number(known['aperture'])}"
+    if "focal" in known:
+        out["focal"] = f"{number(known['focal'])} mm"
+    if "lat" in got:
+        parts = []
+        for value, signs in ((got["lat"], "NS"), (got["lon"], "EW")):
+            d, m, s = _sexagesimal(value)
+            parts.append(f"{d} deg {m} min {number(s / SECOND)} sec {signs[value < 0]}")
+        out["gps"] = ", ".join(parts)
+    return out
+
+
+#: Coordinates are written to a ten-thousandth of a second of arc.
+SECOND = 10_000
+
+
+def _sexagesimal(value: float) -> tuple[int, int, int]:
+    """Degrees, minutes and parts (1/SECOND) of seconds of a coordinate's amount; sixty seconds are a minute."""
+    minutes, parts = divmod(round(abs(value) * 3600 * SECOND), 60 * SECOND)
+    return minutes // 60, minutes % 60, parts
+
+
+def rewritten_block(block: bytes | None, taken: datetime.datetime | None = None, place: tuple[float, float] | None = None) -> bytes:
+    """A TIFF block with another capture time or place.
+
+    The directories that change are written anew behind the block and the header points there, so that nothing else in
+    it moves and every other value, makers' notes included, keeps its place.
+    """
+    data = bytearray(block or b"II*\0" + struct.pack("<I", 8) + bytes(6))
+    order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
+
+    def read(at: int) -> tuple[dict[int, bytes], bytes]:
+        (n,) = struct.unpack_from(order + "H", data, at)
+        raw = [bytes(data[at + 2 + 12 * i : at + 14 + 12 * i]) for i in range(n)]
+        after = bytes(data[at + 2 + 12 * n : at + 6 + 12 * n]).ljust(4, b"\0")
+        return {struct.unpack_from(order + "H", e)[0]: e for e in raw if len(e) == 12}, after
+
+    def put(value: bytes) -> bytes:
+        data.extend(bytes(len(data) % 2))
+        at = struct.pack(order + "I", len(data))
+        data.extend(value)
+        return at
+
+    def entry(tag: int, kind: int, count: int, value: bytes) -> bytes:
+        return struct.pack(order + "HHI", tag, kind, count) + (value.ljust(4, b"\0") if len(value) <= 4 else put(value))
+
+    def directory(entries: dict[int, bytes], after: bytes) -> bytes:
+        return put(struct.pack(order + "H", len(entries)) + b"".join(entries[t] for t in sorted(entries)) + after)
+
+    main, after = read(struct.unpack_from(order + "I", data, 4)[0])
+    if taken is not None:
+        sub, rest = read(struct.unpack_from(order + "I", main[EXIF_IFD], 8)[0]) if EXIF_IFD in main else ({}, bytes(4))
+        text = f"{taken:%Y:%m:%d %H:%M:%S}".encode() + b"\0"
+        sub |= {tag: entry(tag, 2, len(text), text) for tag in (TAKEN, DIGITISED)}
+        main[EXIF_IFD] = entry(EXIF_IFD, 4, 1, directory(sub, rest))
+    if place is not None:
+        gps = {0: entry(0, 1, 4, b"\2\3\0\0")}
+        for tag, value, signs in ((1, place[0], b"NS"), (3, place[1], b"EW")):
+            d, m, s = _sexagesimal(value)
+            gps[tag] = entry(tag, 2, 2, signs[value < 0 :][:1] + b"\0")
+            gps[tag + 1] = entry(tag + 1, 5, 3, struct.pack(order + "6I", d, 1, m, 1, s, SECOND))
+        main[GPS_IFD] = entry(GPS_IFD, 4, 1, directory(gps, bytes(4)))
+    data[4:8] = directory(main, after)
+    return bytes(data)
+
+
+def rewritten(data: bytes, taken: datetime.datetime | None = None, place: tuple[float, float] | None = None) -> bytes:
+    """A JPEG with another capture time or place in its metadata, its pixels' bytes untouched.
+
+    ValueError where the data are no JPEG, the metadata don't fit a segment, or what was written doesn't read back.
+    """
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("only JPEG files can be given a time or place")
+    spans = [(a, b) for marker, a, b in segments(data) if marker == 0xE1 and data[a + 4 : a + 10] == b"Exif\0\0"]
+    start, end = spans[0] if spans else (2, 2)
+    try:
+        block = rewritten_block(data[start + 10 : end] if spans else None, taken, place)
+    except (struct.error, KeyError) as e:
+        raise ValueError("the metadata can't be read") from e
+    if len(block) + 8 > 0xFFFF:
+        raise ValueError("the metadata are too large to rewrite")
+    out = data[:start] + b"\xff\xe1" + struct.pack(">H", len(block) + 8) + b"Exif\0\0" + block + data[end:]
+    got = describe(out)
+    if taken is not None and got.get("taken_at") != taken.replace(microsecond=0):
+        raise ValueError("the time doesn't read back")
+    if place is not None and not all(abs(got.get(k, 999) - v) <= 1e-6 for k, v in zip(("lat", "lon"), place)):
+        raise ValueError("the place doesn't read back")
+    return out
+
+
+def write(files: DataFrame) -> DataFrame:
+    """files (…, content, new_taken_at, new_lat, new_lon) with the new values in their content, and problem: null, or why
+    a file's content was left as it was.  A null value is none to write; a row without any is left alone."""
+    names = files.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents, problems = [], []
+            for c, t, lat, lon in zip(*(batch[n] for n in ("content", "new_taken_at", "new_lat", "new_lon"))):
+                taken = None if pd.isna(t) else pd.Timestamp(t).to_pydatetime()
+                place = None if pd.isna(lat) or pd.isna(lon) else (float(lat), float(lon))
+                problem = None
+                if c is not None and (taken or place):
+                    try:
+                        c = rewritten(bytes(c), taken, place)
+                    except ValueError as e:
+                        problem = str(e)
+                contents.append(c)
+                problems.append(problem)
+            yield batch.assign(content=contents, problem=problems)[[*names, "problem"]]
+
+    schema = T.StructType([*files.schema.fields, T.StructField("problem", T.StringType())])
+    return files.mapInPandas(run, schema)
+
+
+def dimensions(data: bytes) -> tuple[int, int] | None:
+    """(width, height) as the picture is shown, from the header alone: JPEG, turned as EXIF says, PNG or GIF."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack_from(">II", data, 16)
+    if data[:3] == b"GIF" and len(data) >= 10:
+        return struct.unpack_from("<HH", data, 6)
+    size = jpeg_size(data)
+    return size[::-1] if size and (describe(data).get("orientation") or 1) >= 5 else size
+
+
+def embedded(data: bytes, least: int) -> bytes | None:
+    """The preview in a JPEG's first APP1 segment: of at least so many pixels along its long edge, and of the photo's own
+    shape within 2 %."""
+    whole = jpeg_size(data)
+    body = next((data[a + 4 : b] for marker, a, b in segments(data) if marker == 0xE1), b"")
+    start, end = body.find(b"\xff\xd8\xff"), body.rfind(b"\xff\xd9")
+    small = jpeg_size(body[start : end + 2]) if 0 <= start < end else None
+    if not whole or not small or not all(whole + small) or max(small) < least:
+        return None
+    shapes = [w / h for w, h in (whole, small)]
+    return body[start : end + 2] if abs(shapes[0] - shapes[1]) <= 0.02 * max(shapes) else None
+
+
 def jpeg_size(data: bytes) -> tuple[int, int] | None:
     """(width, height) from a JPEG's frame header, baseline to progressive."""
     for marker, start, _ in segments(data):
@@ -192,6 +398,8 @@ def preview(data: bytes) -> bytes | None:
     spans: list[tuple[int, int]] = []
     if data[:15] == b"FUJIFILMCCD-RAW" and len(data) >= 92:
         spans.append(struct.unpack_from(">II", data, 84))
+    elif data[4:8] == b"ftyp":
+        spans = _media_spans(data)
     else:
         try:
             tiff = Tiff(data)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -91,14 +94,27 @@ _META = (
 )
 
 
-def read_meta(spark: SparkSession, root: str, name: str = META_FILE) -> DataFrame:
-    """(folder, hash, rating, label, albums) of the side files below root; a broken file says nothing."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-    rows = text.text(root).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", _META).alias("j"))
+def side_files(spark: SparkSession, root: str, name: str = META_FILE, legacy: str | None = None) -> DataFrame:
+    """(folder, json) of the side files below root, without those in hidden folders.
+
+    A folder that has no file of the name is read from its file of the legacy name, if one is given.
+    """
+    names = [name] + ([legacy] if legacy else [])
+    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    rows = text.option("pathGlobFilter", "{" + ",".join(names) + "}" if legacy else name).text(root)
     bare = root.removeprefix("file://").rstrip("/") + "/"
-    path = F.regexp_replace("file", "^[a-z0-9]+:/+", "/")
-    folder = folder_of(F.replace(path, F.lit(bare), F.lit("")))
-    out = rows.select(folder.alias("folder"), F.explode("j.photos").alias("hash", "m"))
+    decoded = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    path = F.regexp_replace(decoded, "^[a-z0-9]+:/+", "/")
+    path = F.substring(path, F.lit(len(bare) + 1), F.length(path))
+    rows = rows.select(folder_of(path).alias("folder"), (name_of(path) == name).alias("current"), F.col("value").alias("json"))
+    rows = rows.where(~F.col("folder").rlike(r"(^|/)\."))
+    return rows.groupBy("folder").agg(F.max_by("json", "current").alias("json")) if legacy else rows.select("folder", "json")
+
+
+def read_meta(spark: SparkSession, root: str, name: str = META_FILE, legacy: str | None = None) -> DataFrame:
+    """(folder, hash, rating, label, albums) of the side files below root; a broken file says nothing."""
+    rows = side_files(spark, root, name, legacy).select("folder", F.from_json("json", _META).alias("j"))
+    out = rows.select("folder", F.explode("j.photos").alias("hash", "m"))
     empty = F.array().cast("array<string>")
     return out.select("folder", "hash", F.coalesce("m.rating", F.lit(0)).alias("rating"), "m.label", F.coalesce("m.albums", empty).alias("albums"))
 
@@ -112,6 +128,64 @@ def meta_documents(meta: DataFrame) -> DataFrame:
     return meta.groupBy("folder").agg(F.to_json(F.struct(photos.alias("photos"))).alias("json"))
 
 
+def put_file(uri: str, body: bytes) -> None:
+    """Writes a file that appears whole or not at all, on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part) as out:
+        out.write(body)
+    system.move(part, path)
+
+
+def write_meta(meta: DataFrame, dirty: DataFrame, root: str, name: str = META_FILE, legacy: str | None = None) -> DataFrame:
+    """Writes the side files of the dirty folders (folder) below root; (folder, done) says what became of each.
+
+    written, or removed where the folder has nothing to say, or gone where there is no such folder.  What a file says
+    beyond photos (searches, view) stays.  The file of the legacy name goes.  A task that runs twice does the same again;
+    nothing is done until the result is read, so read it once.  root is a URI that every machine reaches.
+    """
+    old = side_files(meta.sparkSession, root, name, legacy).withColumnRenamed("json", "old")
+    todo = dirty.select("folder").distinct().join(meta_documents(meta), "folder", "left").join(old, "folder", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root.rstrip("/"))
+        for batch in batches:
+            done = []
+            for folder, new, was in zip(batch["folder"], batch["json"], batch["old"]):
+                place = f"{base}/{folder}".rstrip("/")
+                if system.get_file_info(place).type != fs.FileType.Directory:
+                    done.append("gone")
+                    continue
+                try:
+                    kept = json.loads(was or "{}")
+                except ValueError:
+                    kept = {}
+                kept = {k: v for k, v in kept.items() if k != "photos" and v} if isinstance(kept, dict) else {}
+                body = (json.loads(new) if new else {}) | kept
+                unwanted = [legacy] if legacy else []
+                if body:
+                    put_file(f"{root.rstrip('/')}/{quote(folder)}/{name}" if folder else f"{root.rstrip('/')}/{name}", json.dumps(body, indent=2, ensure_ascii=False).encode())
+                else:
+                    unwanted.append(name)
+                for n in unwanted:
+                    if system.get_file_info(f"{place}/{n}").type == fs.FileType.File:
+                        system.delete_file(f"{place}/{n}")
+                done.append("written" if body else "removed")
+            yield pd.DataFrame({"folder": batch["folder"], "done": done})
+
+    return todo.mapInPandas(run, "folder string, done string")
+
+
+def peek(spark: SparkSession, root: str) -> DataFrame:
+    """What is in one folder, without its subfolders, in order of lower-cased paths; nothing is kept or written."""
+    return scan(spark, root, shallow=True).orderBy(F.lower("path"), "path")
+
+
 _PEOPLE = "people array<struct<name: string, faces: array<string>, references: array<array<float>>, excluded: array<string>>>, dismissed array<string>"
 
 

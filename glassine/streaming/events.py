@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A burst ends after so much quiet.
@@ -19,6 +19,14 @@ def interesting(kind: Column, path: Column, marker: str = MARKER, caches: tuple[
     return (F.lower(kind) != "access") & (path != marker) & ~cached
 
 
+def watch(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFrame:
+    """A stream (kind, path, event_time) of the files that appear below root; none is opened."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    found = read.option("maxFilesPerTrigger", per_batch).load(root)
+    return found.select(F.lit("create").alias("kind"), F.col("path"), F.col("modificationTime").alias("event_time"))
+
+
 def bursts(events: DataFrame, quiet: str = QUIET, keys: list[str] = (), watermark: str | None = None) -> DataFrame:
     """(keys, start, end, events): one row per burst, an end being quiet after the last event.
 
