@@ -76,20 +76,26 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """run for a worker that other stages have used: what token encoding keeps goes first, and freed memory goes back to
-    the machine at the end, as Spark keeps workers."""
+def give_back() -> None:
+    """Returns this process's freed memory to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False) -> Callable:
+    """run for a worker that other stages have used: what token encoding keeps goes first, unless run encodes, and freed
+    memory goes back to the machine, as Spark keeps workers."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = sys.modules.get("glassine.llm.tokenizer")
-        if tokens:
+        if tokens and not encodes and tokens.encoder.cache_info().currsize:
             tokens.encoder.cache_clear()
+            give_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return tidy
 

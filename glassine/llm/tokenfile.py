@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BATCH_ROWS, scratch_path, small_batches
+from .shared import BATCH_ROWS, scratch_path, small_batches, tidied
 
 #: The vocabulary file and the id that ends a document.
 VOCABULARY, END = "byte_bpe_50k.json", 0
@@ -51,7 +51,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Da
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return small_batches(ordered).mapInArrow(run, SCHEMA)
+    return small_batches(ordered).mapInArrow(tidied(run, encodes=True), SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
@@ -90,7 +90,7 @@ def digests(tokens: DataFrame) -> DataFrame:
             columns = [*batch.columns[:3], pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return small_batches(tokens).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return small_batches(tokens).mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame) -> DataFrame:

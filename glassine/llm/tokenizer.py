@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a generation of words and of pieces (mostly asked for through words).
-WORDS, PIECES = 200_000, 30_000
+WORDS, PIECES = 240_000, 30_000
 #: Bytes of text laid out at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Flags of what was seen, by hash; all are dropped once a third is set.
 FLAGS = 1 << 22
 _RISKY = re.compile(r"\s \s|\n\n\n|\n\n\Z|[^\S\n]\n|\n[^\S\n]")
@@ -172,24 +172,34 @@ class Encoder:
             else:
                 plain.append(None)
                 first.append(odd)
-        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        # What has been used is dropped before the next arrays are made: workers are many and their memory is small.
+        joined = pa.array(plain, pa.large_string())
+        del plain
+        lists = pc.split_pattern(joined, " ")
+        del joined
         per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
+        del lists
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        indices = coded.indices.to_numpy(zero_copy_only=False)
+        del coded
         out = self._words(words) + first
+        pa.default_memory_pool().release_unused()
         # Where in the pool of answers each word's ids begin, in the order of the texts.
         sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
         pool, begins = np.frombuffer(b"".join(out), "<i4"), np.r_[0, sizes.cumsum()[:-1]]
+        del out
         heads = np.r_[0, (per + 1).cumsum()]
-        which = np.empty(heads[-1], np.int64)
+        which = np.empty(heads[-1], np.int32)
         at_head = np.zeros(heads[-1], bool)
         at_head[heads[:-1]] = True
         which[at_head] = len(words) + np.arange(len(first))
-        which[~at_head] = coded.indices.to_numpy(zero_copy_only=False)
+        which[~at_head] = indices
         n = sizes[which]
         ends = n.cumsum()
-        ids = pool[np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.add.reduceat(n, heads[:-1]) if len(first) else n
+        places = np.repeat(begins[which] - (ends - n), n)
+        places += np.arange(len(places))
+        return pool[places], np.add.reduceat(n, heads[:-1]) if len(first) else n
 
     def byte_lengths(self) -> np.ndarray:
         """For each id, how many bytes of text it stands for."""
