@@ -24,27 +24,25 @@ def valid_fix(lat: Column, lon: Column) -> Column:
     return F.coalesce(known & ~((lat == 0) & (lon == 0)), F.lit(False))
 
 
-def wrap_cell(cell: Column) -> Column:
-    """A one-degree longitude cell brought into -180..179."""
-    return F.pmod(cell + 180, F.lit(360)) - 180
+def wrap_cell(cell: Column, parts: int = 1) -> Column:
+    """A longitude cell of 1 / parts degrees brought into -180..179 degrees."""
+    return F.pmod(cell + 180 * parts, F.lit(360 * parts)) - 180 * parts
 
 
-def cell(x: Column) -> Column:
-    return F.floor(x).cast("int")
+def cell(x: Column, parts: int = 1) -> Column:
+    return F.floor(x * parts).cast("int")
 
 
-def cover(lat: Column, lon: Column, reach: float = REACH) -> Column:
-    """The one-degree cells (cell_lat, cell_lon) that hold every place within reach: whole rows near the poles."""
+def cover(lat: Column, lon: Column, reach: float = REACH, parts: int = 1) -> Column:
+    """The cells (cell_lat, cell_lon) of 1 / parts degrees that hold every place within reach: whole rows near the poles."""
     dlat = reach / (RADIUS * math.pi / 180)
-    top = F.least(F.abs(lat) + dlat, F.lit(89.999))
     # The widest longitude of a circle of that radius.
     wide = F.degrees(F.asin(F.least(F.sin(F.lit(math.radians(dlat))) / F.cos(F.radians(F.abs(lat))), F.lit(1.0))))
     dlon = F.when(F.abs(lat) + dlat >= 89.0, F.lit(180.0)).otherwise(wide + 1e-9)
-    lats = F.sequence(cell(lat - dlat), cell(lat + dlat))
-    lons = F.when(dlon >= 179, F.sequence(F.lit(-180), F.lit(179))).otherwise(
-        F.array_distinct(F.transform(F.sequence(cell(lon - dlon), cell(lon + dlon)), wrap_cell))
+    lats = F.sequence(cell(lat - dlat, parts), cell(lat + dlat, parts))
+    lons = F.when(dlon >= 179, F.sequence(F.lit(-180 * parts), F.lit(180 * parts - 1))).otherwise(
+        F.array_distinct(F.transform(F.sequence(cell(lon - dlon, parts), cell(lon + dlon, parts)), lambda c: wrap_cell(c, parts)))
     )
-    del top
     return F.flatten(
         F.transform(lats, lambda a: F.transform(lons, lambda o: F.struct(a.alias("cell_lat"), o.cast("int").alias("cell_lon"))))
     )

@@ -2,32 +2,68 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.places import REACH, cell, cover, haversine, mercator, valid_fix
-from ..scratch import numbered
+from ..functions.places import RADIUS, REACH, cell, cover, haversine, mercator, valid_fix, wrap_cell
+from ..scratch import numbered, written
+
+
+#: Places that the search of one position should meet, and the latitude from which cells narrow too much for a short search.
+CROWD, STEEP = 16, 85.0
+
+
+def _radii(spots: DataFrame, reach: float) -> list[float]:
+    """Ascending radii up to reach, each four times the one before; the first meets some CROWD of the spots around a spot."""
+    n = spots.groupBy(cell(F.col("plat")), cell(F.col("plon"))).agg(F.count("*").cast("double").alias("n"))
+    around = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    # A one-degree cell is some 111 km wide; a search meets the cells of a square around its circle.
+    crowd = around * max(1.0, (3 * reach / 111) ** 2)
+    steps = math.ceil(math.log(crowd / CROWD, 16)) if crowd > CROWD else 0
+    return [reach / 4**k for k in range(steps, -1, -1)]
+
+
+def _meet(spots_of: DataFrame, spots: DataFrame, radius: float) -> DataFrame:
+    """(lat, lon, place, km) of the positions (lat, lon) that have a spot within radius, with the nearest."""
+    wide = radius * (1 + 1e-9)  # what rounding puts inside is inside the cells too
+    parts = max(1, int(RADIUS * math.pi / 180 / wide))
+    own = spots_of.withColumn("c", F.explode(cover(F.col("lat"), F.col("lon"), wide, parts)))
+    own = own.select("lat", "lon", "c.cell_lat", "c.cell_lon")
+    cells = spots.withColumn("cell_lat", cell(F.col("plat"), parts))
+    cells = cells.withColumn("cell_lon", wrap_cell(cell(F.col("plon"), parts), parts).cast("int"))
+    km = haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    near = own.join(cells, ["cell_lat", "cell_lon"]).withColumn("km", km).where(F.col("km") <= radius)
+    first = F.min_by("place", F.struct("km", "place.place_id")).alias("place")
+    return near.groupBy("lat", "lon").agg(first, F.min("km").alias("km"))
 
 
 def nearest(points: DataFrame, places: DataFrame, id_col: str, reach: float = REACH) -> DataFrame:
     """points (id_col, lat, lon) with place (place_id, name, ...) and km, null beyond reach.
 
-    Each point meets the places of the one-degree cells that its reach covers: an equi-join, exact at any latitude.
-    Equal distances go to the smaller place_id.
+    Positions are searched once each, however many points or places share them, first within a short radius that follows
+    how crowded the places are; only those without a place there look four times as far, up to reach.  A search is an
+    equi-join on the cells that its circle covers, so the nearest place is exact at any latitude.  Equal distances go
+    to the smaller place_id.
     """
-    cells = places.withColumn("cell_lat", cell(F.col("lat"))).withColumn("cell_lon", cell(F.col("lon")))
-    cells = cells.withColumnRenamed("lat", "plat").withColumnRenamed("lon", "plon")
-    own = points.where(valid_fix(F.col("lat"), F.col("lon")))
-    met = own.withColumn("c", F.explode(cover(F.col("lat"), F.col("lon"), reach)))
-    met = met.withColumn("cell_lat", F.col("c.cell_lat")).withColumn("cell_lon", F.col("c.cell_lon")).drop("c")
-    met = met.join(cells, ["cell_lat", "cell_lon"])
-    km = haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    near = met.withColumn("km", km).where(F.col("km") <= reach)
-    best = near.groupBy(id_col).agg(
-        F.min_by(F.struct(*(c for c in places.columns if c not in ("lat", "lon"))), F.struct("km", "place_id")).alias("place"),
-        F.min("km").alias("km"),
-    )
-    return points.join(best, id_col, "left")
+    named = F.struct(*(c for c in places.columns if c not in ("lat", "lon")))
+    # A null or a coordinate off the globe is near nothing.
+    spots = places.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+    spots = spots.groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    spots = written(spots.agg(F.min_by(named, "place_id").alias("place")))
+    left = written(points.where(valid_fix(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct())
+    found = []
+    for radius in _radii(spots, reach):
+        last = radius == reach
+        asked = left if last else left.where(F.abs("lat") < STEEP)
+        hit = written(_meet(asked, spots, radius))
+        found.append(hit)
+        left = left if last else written(left.join(hit, ["lat", "lon"], "left_anti"))
+    best = reduce(DataFrame.union, found)
+    joined = points.join(best, ["lat", "lon"], "left")
+    return joined.select(id_col, *(c for c in points.columns if c != id_col), "place", "km")
 
 
 def located(points: DataFrame) -> DataFrame:

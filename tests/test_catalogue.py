@@ -103,6 +103,34 @@ def test_places(spark):
     assert got[300] == "fiji" and got[301]
 
 
+def test_nearest_place_in_a_crowd_and_on_the_date_line(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(km):
+        seen.add(1)
+        return km
+
+    rng = random.Random(8)
+    spots = [(rng.uniform(36, 37), rng.uniform(20, 21)) for _ in range(400)]
+    table = spark.createDataFrame([(i, *spots[i % 400]) for i in range(2000)] + [(5000, -18.1, 180.0), (5001, 60.0, 20.0)], "place_id int, lat double, lon double")
+    at = [spots[i % 150] for i in range(1000)] + [(rng.uniform(36, 37), rng.uniform(20, 21)) for _ in range(200)]
+    points = spark.createDataFrame(
+        [(i, *p) for i, p in enumerate(at)] + [(7000, -18.1, -179.9), (7001, 60.9, 20.0), (7002, None, 20.0), (7003, 10.0, 10.0)],
+        "id int, lat double, lon double",
+    )
+    plain = places.haversine
+    monkeypatch.setattr(place_ops, "haversine", lambda *a: counted(plain(*a)))
+    got = {r["id"]: r["place"]["place_id"] if r["place"] else None for r in place_ops.nearest(points, table, "id").collect()}
+    assert len(got) == 1204 and {i: got[i] for i in range(7000, 7004)} == {7000: 5000, 7001: 5001, 7002: None, 7003: None}
+    near = {(r["lat"], r["lon"]): r["p"] for r in points.where("id < 1200").select("lat", "lon").distinct().crossJoin(
+        table.where("place_id < 400").toDF("p", "plat", "plon")
+    ).groupBy("lat", "lon").agg(F.min_by("p", plain(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).alias("p")).collect()}
+    assert all(got[i] == near[p] for i, p in enumerate(at))
+    # 1,200 points beside 2,000 places are 2.4 million pairs.
+    assert seen.value < 100_000
+
+
 def test_tree(spark):
     files = spark.createDataFrame([("",), ("Trash",), ("Trash",), ("Day1",), ("Day1/x",)], ["folder"])
     dirs = spark.createDataFrame([("Empty",)], ["folder"])
