@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, places, times, vectors
-from .operators import clustering, faces, identity, listing, similarity, tree
+from .operators import clustering, faces, identity, linkage, listing, similarity, tree
 from .operators import places as place_ops
 from .plans import build, catalog, grammar, people, rename
 from .session import table
@@ -161,7 +161,7 @@ def dedupe_pairs(spark, d):
 @query()
 def dedupe_groups(spark, d):
     """Groups of near duplicates by complete linkage: within a group every pair is one."""
-    return clustering.complete_linkage(similarity.image_pairs(_signatures(spark, d), 26, 1.25, "vec_id"))
+    return linkage.linked_groups(_signatures(spark, d), "vec_id", similarity.IMAGE, similarity.images_close(26, 1.25))
 
 
 _GROUPS = f"""WITH {MEDIA}, g AS (

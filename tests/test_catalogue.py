@@ -174,6 +174,35 @@ def test_linkage_by_component(spark):
     assert sorted(map(sorted, got.values())) == sorted(want)
 
 
+def test_linkage_from_tiles_lists_few_edges(spark, sf, monkeypatch):
+    from glassine.operators import linkage
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 300")
+    s = v.select("vec_id", similarity.sign_bits(F.col("embedding")).alias("dhash"), vectors.standardise(F.col("embedding")).alias("norm"))
+    # Copies, and a row without features.
+    s = s.union(s.where("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 1000)).union(s.where("vec_id = 0").selectExpr("2000L", "null", "null"))
+    edges = [(r["distance"], r["i"], r["j"]) for r in similarity.image_pairs(s.dropna(), 28, 1.3, "vec_id").collect()]
+    want = clustering.greedy_complete_linkage(edges)
+    taken = []
+    plain = linkage._ordered
+    monkeypatch.setattr(linkage, "_ordered", lambda df: taken.append(df.count()) or plain(df))
+    for tile, serial, most in ((5000, 10**6, 0), (100, 300, 0), (90, 0, 0), (120, 0, 10**6)):
+        got = {}
+        for r in linkage.linked_groups(s, "vec_id", similarity.IMAGE, similarity.images_close(28, 1.3), tile, serial, most).collect():
+            got.setdefault(r["group_id"], []).append(r["member"])
+        assert sorted(map(sorted, got.values())) == sorted(want) and all(k == min(g) for k, g in got.items())
+    assert len(edges) > 2000 and taken[0] == len(edges) and taken[1] <= 300
+    assert linkage.linked_groups(s.limit(0), "vec_id", similarity.IMAGE, similarity.images_close(28, 1.3)).count() == 0
+
+
+def test_near_duplicates_are_grouped_without_a_table_of_edges(spark, sf, monkeypatch):
+    from glassine import registry
+
+    monkeypatch.setattr(clustering, "complete_linkage", None)
+    monkeypatch.setattr(similarity, "image_pairs", None)
+    assert registry.queries()["dedupe_groups"](spark, sf).count() > 0
+
+
 def test_tiles_equal_brute_force(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 120")
     s = v.select("vec_id", similarity.sign_bits(F.col("embedding")).alias("dhash"), vectors.standardise(F.col("embedding")).alias("norm"))
